@@ -60,24 +60,28 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = 384, ridge: float = 1e-3) -> Model:
-    """x: rows x BUCKETS presence, in an order that is already random; landmarks are its first rows, dealt over languages."""
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = 384, ridge: float = 1e-3, rows_at_once: int = 128) -> Model:
+    """bits: rows x BUCKETS / 8, packed presence, in an order that is already random; landmarks are its first rows, dealt over languages."""
     languages = sorted(set(labels))
     turn: dict[str, int] = {}
     order = sorted(range(len(labels)), key=lambda i: (turn.__setitem__(labels[i], turn.get(labels[i], -1) + 1) or turn[labels[i]], i))
-    x = x.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-    marks = x[order[: min(landmarks, len(order))]]
+
+    def unit(packed: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(packed, axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+        return x
+
+    marks = unit(bits[order[: min(landmarks, len(order))]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ marks.T).astype(np.float64) @ white
+    phi = np.concatenate([(unit(bits[at : at + rows_at_once]) @ marks.T).astype(np.float64) @ white for at in range(0, len(bits), rows_at_once)])
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = np.array([len(labels) / (len(languages) * labels.count(c)) for c in languages])[[languages.index(c) for c in labels]][:, None]
     mean, centre = (weight * y).sum(0) / weight.sum(), (weight * phi).sum(0) / weight.sum()
     z = phi - centre
     beta = np.linalg.solve(z.T @ (weight * z) + ridge * len(labels) * np.eye(z.shape[1]), z.T @ (weight * (y - mean)))
-    return Model(languages, (marks.T.astype(np.float64) @ (white @ beta)).astype(np.float32), mean - centre @ beta)
+    return Model(languages, marks.T @ (white @ beta).astype(np.float32), mean - centre @ beta)
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1500) -> Model | None:
@@ -98,7 +102,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
         return step
 
     got = sorted((r.u, r.l, bytes(r.bits)) for r in map_batches(sample.select("t", "l", "u"), "bits binary, l string, u double", make).collect())
-    return fit(np.unpackbits(np.frombuffer(b"".join(g[2] for g in got), dtype=np.uint8).reshape(len(got), -1), axis=1), [g[1] for g in got]) if got else None
+    return fit(np.frombuffer(b"".join(g[2] for g in got), dtype=np.uint8).reshape(len(got), -1), [g[1] for g in got]) if got else None
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", carry: list[str] | None = None, label: str = "lang_pred", score: str = "score", rows_at_once: int = 64) -> DataFrame:
