@@ -1,9 +1,11 @@
 """The corpus queries and their SQL."""
 
-from . import decontaminate, language
+from . import decontaminate, language, mixing, simhash
 
 QUERIES = {
+    "op4_vantage_point": simhash.op4_vantage_point,
     "op5_aho_corasick": decontaminate.op5_aho_corasick,
     "op8_string_kernel": language.op8_string_kernel,
+    "op9_entropy_balancing": mixing.op9_entropy_balancing,
 }
 SQL = {"op5_aho_corasick": decontaminate.SQL_5}

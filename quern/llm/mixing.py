@@ -8,8 +8,8 @@ diagonal and the step exact, with several margins the steps go round the margins
 
 Copies: floor(w) for all, and one more for the documents of a source whose key u / (w - floor(w)) is lowest, u being a
 hash of the key and size. How far to go is found by a search over digits of that key: one histogram (4096 bins a source)
-a level, refined in the bin where the remainder runs out; so no source is sorted or gathered in one task. At last one
-document a source changes by a copy, if its size mends most of what is left.
+a level, refined in the bin where the remainder runs out; so no source is sorted or gathered in one task. At last, three
+times, one document a source changes by a copy, if its size mends most of what is left.
 
 Results: a null text has size 0; a null source is a source of its own, last in order. Targets: weights repeat over sources in
 code point order; a target stops at `most` times its source's size, the excess is shared anew by weight. With no words at
@@ -105,11 +105,12 @@ def copies(rows: DataFrame, most: int = 3) -> DataFrame:
     order = Window.partitionBy("source").orderBy("key", "row")
     more = ends.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).select(F.col("row").alias("also"))
     chosen = cut(at.join(more, F.col("row") == F.col("also"), "left").withColumn("copies", F.col("copies") + F.when((F.coalesce(F.col("place") < F.col("prefix"), F.lit(False))) | F.col("also").isNotNull(), 1).otherwise(0)).select(*rows.columns, "copies"), "rounded")
-    lack = chosen.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")).withColumnRenamed("source", "of")
-    change = F.signum("lack")
-    can = F.when(F.col("lack") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.abs(F.abs("lack") - F.col("size")) < F.abs("lack"))
-    best = chosen.join(lack, F.col("source").eqNullSafe(F.col("of"))).where(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("lack") - F.col("size")).alias("left"), "u", "row", change.alias("change"))).alias("b"))
-    return chosen.join(best.select(F.col("b.row").alias("fix"), F.col("b.change").alias("change")), F.col("row") == F.col("fix"), "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long")).drop("fix", "change")
+    for _ in range(3):
+        lack = chosen.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")).withColumnRenamed("source", "of")
+        can = F.when(F.col("lack") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.abs(F.abs("lack") - F.col("size")) < F.abs("lack"))
+        best = chosen.join(lack, F.col("source").eqNullSafe(F.col("of"))).where(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("lack") - F.col("size")).alias("left"), "u", "row", F.signum("lack").alias("change"))).alias("b"))
+        chosen = cut(chosen.join(best.select(F.col("b.row").alias("fix"), F.col("b.change").alias("change")), F.col("row") == F.col("fix"), "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long")).drop("fix", "change"), "mended")
+    return chosen
 
 
 def decide(docs: DataFrame, columns: list[str], *, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
