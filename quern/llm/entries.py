@@ -1,10 +1,12 @@
 """The corpus queries and their SQL."""
 
-from . import decontaminate, language, mixing, simhash
+from . import decontaminate, language, lattice, mixing, secret_scan, simhash
 
 QUERIES = {
+    "op1_subword_lattice": lattice.op1_subword_lattice,
     "op4_vantage_point": simhash.op4_vantage_point,
     "op5_aho_corasick": decontaminate.op5_aho_corasick,
+    "op6_randomness_battery": secret_scan.op6_randomness_battery,
     "op8_string_kernel": language.op8_string_kernel,
     "op9_entropy_balancing": mixing.op9_entropy_balancing,
 }
