@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Personal-data patterns by category. Java reads them with Unicode classes.
 PII = {
@@ -58,7 +59,7 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 
@@ -112,9 +113,10 @@ def truncate(c: Column, limit: int) -> Column:
 
 def human_size(c: Column, zero: str | None = None) -> Column:
     """Bytes as 0.0B .. 0.0TB; zero: what an empty file is called."""
-    out = F.format_string("%.1fTB", c / 1024.0**4)
+    shown = lambda power, unit: F.format_string(f"%.1f{unit}", F.bround(c / 1024.0**power, 1))  # halves go to the even digit
+    out = shown(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(c / 1024.0**power < 1024, F.format_string(f"%.1f{unit}", c / 1024.0**power)).otherwise(out)
+        out = F.when(c / 1024.0**power < 1024, shown(power, unit)).otherwise(out)
     return out if zero is None else F.when(c == 0, F.lit(zero)).otherwise(out)
 
 

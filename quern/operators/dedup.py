@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import cut
 
@@ -31,13 +32,13 @@ def exact(df: DataFrame, field: str, order_by: str | Column | None = None, keep:
     return kept.select(*df.columns).union(df.where(free))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(new: pd.Series, kept: pd.Series) -> pd.Series:
     """1 for equal texts, else the matching-blocks ratio of the newer text against the kept one."""
     return pd.Series([1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in zip(new, kept, strict=True)], dtype="float64")
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def _prefix(text: str, threshold: float):
     """The rarest characters of a text (counted: e#3 is its third e), as many as any text similar enough must share one of.
 

@@ -42,7 +42,7 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
 
     A JSON document cannot be split, so a file is one task's work; write large data as JSON lines.
     """
-    whole = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("w"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("w"), "value")
     first = F.lower(F.schema_of_variant("w"))
     records = F.try_variant_get("w", "$", "array<variant>")
     keys = F.json_object_keys("value")
@@ -73,9 +73,33 @@ def xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "").option("valueTag", "text").load(path)
 
 
-def python_table(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    tables.register(spark)
-    return spark.read.format(kind).options(**{k: str(v) for k, v in options.items() if v is not None}).load(path)
+def whole_files(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+    """Spreadsheets, Markdown tables and Arrow shards: files are read by Spark, from any store, and parsed a file a task.
+
+    The first file (by path) gives the columns; cells of a column that a file lacks are null.
+    """
+    pattern = {"excel": "*.xlsx", "markdown": "*.{md,markdown,txt}", "arrow": "*.arrow"}[kind]
+    if kind == "arrow" and not path.endswith(".arrow"):
+        path = _split_of(spark, path, options.pop("split", None) or "train")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    columns = tables.columns_of(kind, options)
+    first = files.orderBy("path").limit(1).select("content").mapInArrow(columns, "columns string").collect()
+    if not first:
+        raise SourceError(f"no {kind} file below {path}")
+    schema = tables.schema_of(first[0][0])
+    return files.select("content").mapInArrow(tables.rows_of(kind, schema, options), schema)
+
+
+def _split_of(spark: SparkSession, path: str, split: str) -> str:
+    """The folder of a split, where a dataset folder has splits; the first if it lacks the one asked for."""
+    told = f"{path.rstrip('/')}/dataset_dict.json"
+    at = spark._jvm.org.apache.hadoop.fs.Path(told)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return path
+    import json as j
+
+    splits = j.loads(spark.read.text(told, wholetext=True).first()[0])["splits"]
+    return f"{path.rstrip('/')}/{split if split in splits else splits[0]}"
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
@@ -88,9 +112,8 @@ def read(spark: SparkSession, path: str, format: str | None = None, **options) -
         return simple[kind](spark, path, **options)
     if kind == "parquet":
         return spark.read.parquet(path)
-    named = {"excel": "xlsx", "markdown": "markdown_table", "arrow": "arrow_ipc"}
-    if kind in named:
-        return python_table(spark, named[kind], path, **options)
+    if kind in ("excel", "markdown", "arrow"):
+        return whole_files(spark, kind, path, **options)
     raise SourceError(f"no reader for {path} ({kind})")
 
 

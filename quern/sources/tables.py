@@ -1,7 +1,7 @@
-"""Python data sources for Arrow files and dataset folders, Markdown tables and spreadsheets.
+"""Parsers of whole files (Markdown tables, workbooks, Arrow files), and data sources that write workbooks and Arrow files.
 
-Files are given to the reader as Spark lists them; each file is one partition and is read through pyarrow's file systems
-(local paths, and stores that it knows). A dataset folder may hold splits (dataset_dict.json); split `train` is the default.
+Reading goes through Spark's own file reader (readers.whole_files). Writers use pyarrow's file systems: a folder that all
+tasks share, or a store that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import SourceError
@@ -25,22 +26,6 @@ def _fs(path: str):
     return found
 
 
-def load(path: str) -> bytes:
-    f, p = _fs(path)
-    with f.open_input_stream(p) as s:
-        return s.read()
-
-
-def listed(path: str, suffix: str) -> list[str]:
-    from pyarrow import fs
-
-    f, p = _fs(path)
-    if f.get_file_info(p).type == fs.FileType.File:
-        return [path]
-    head = path[: len(path) - len(p)] if path.endswith(p) else ""
-    return sorted(head + i.path for i in f.get_file_info(fs.FileSelector(p, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(suffix))
-
-
 def markdown_table(text: str) -> tuple[list[str], list[list[str]]]:
     """Header and rows of the first table; rows of another width are left out."""
     block = re.search(r"(?:^[^\S\n]*\|[^\n]*\|[^\S\n]*(?:\n|\Z))(?:[^\S\n]*\S[^\n]*(?:\n|\Z))*", text, re.M)
@@ -124,74 +109,53 @@ def workbook(header: list[str], rows: list[list[str | None]], sheet: str = "Shee
     return out.getvalue()
 
 
-class _File(InputPartition):
-    pass
-
-
-class _Reader(DataSourceReader):
-    suffix = ""
-
-    def __init__(self, options):
-        self.options, self.path = dict(options), options.get("path")
-
-    def partitions(self):
-        return [_File(p) for p in listed(self.path, self.suffix)] or [_File(None)]
-
-
-class _Strings(_Reader):
-    """Tables whose cells are text; the first file gives the columns."""
-
-    def __init__(self, options, schema):
-        super().__init__(options)
-        self.names = [f.name for f in schema.fields]
-
-    def table(self, raw: bytes):
-        raise NotImplementedError
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        header, rows = self.table(load(partition.value))
-        at = {h: i for i, h in enumerate(header)}
-        for r in rows:
-            yield tuple(r[at[n]] if n in at and at[n] < len(r) else None for n in self.names)
-
+def table_of(kind: str, raw: bytes, options: dict) -> tuple[list[str], list[list[str | None]]]:
+    """Header and rows, as text, of a Markdown table or a sheet."""
+    if kind == "markdown":
+        return markdown_table(raw.decode(options.get("encoding") or "utf-8", "replace"))
+    rows = sheet_rows(raw, options.get("sheet"))
+    return ([x or "" for x in rows[0]], [r for r in rows[1:] if any(x is not None for x in r)]) if rows else ([], [])
 
-class MarkdownReader(_Strings):
-    suffix = ".md"
 
-    def table(self, raw):
-        return markdown_table(raw.decode(self.options.get("encoding", "utf-8"), "replace"))
+def columns_of(kind: str, options: dict):
+    """For mapInArrow: the schema of each file, as JSON."""
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for raw in batch.column(0).to_pylist():
+                if kind == "arrow":
+                    from pyspark.sql.pandas.types import from_arrow_schema
 
-class ExcelReader(_Strings):
-    suffix = ".xlsx"
+                    out.append(from_arrow_schema(arrow_batches(raw)[0].schema).json())
+                else:
+                    out.append(StructType([StructField(h, StringType()) for h in table_of(kind, raw, options)[0]]).json())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["columns"])
 
-    def table(self, raw):
-        rows = sheet_rows(raw, self.options.get("sheet"))
-        return [x or "" for x in rows[0]] if rows else [], [r for r in rows[1:] if any(x is not None for x in r)]
+    return run
 
 
-class _StringSource(DataSource):
-    reader_: type[_Strings]
+def schema_of(text: str) -> StructType:
+    return StructType.fromJson(json.loads(text))
 
-    def schema(self):
-        found = listed(self.options["path"], self.reader_.suffix)
-        if not found:
-            raise SourceError(f"no {self.reader_.suffix} file below {self.options['path']}")
-        header, _ = self.reader_(self.options, StructType()).table(load(found[0]))
-        return StructType([StructField(h, StringType()) for h in header])
 
-    def reader(self, schema):
-        return self.reader_(self.options, schema)
+def rows_of(kind: str, schema: StructType, options: dict):
+    """For mapInArrow: the rows of each file."""
+    names = [f.name for f in schema.fields]
 
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                if kind == "arrow":
+                    for b in arrow_batches(raw):
+                        yield b.select(names)
+                    continue
+                header, rows = table_of(kind, raw, options)
+                at = {h: i for i, h in enumerate(header)}
+                cells = [[r[at[n]] if n in at and at[n] < len(r) else None for r in rows] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells], names=names)
 
-class MarkdownSource(_StringSource):
-    reader_ = MarkdownReader
-
-    @classmethod
-    def name(cls):
-        return "markdown_table"
+    return run
 
 
 class _Message(WriterCommitMessage):
@@ -229,9 +193,7 @@ class ExcelWriter(DataSourceWriter):
         return _Message()
 
 
-class ExcelSource(_StringSource):
-    reader_ = ExcelReader
-
+class ExcelSource(DataSource):
     @classmethod
     def name(cls):
         return "xlsx"
@@ -240,26 +202,7 @@ class ExcelSource(_StringSource):
         return ExcelWriter(self.options, schema, overwrite)
 
 
-class ArrowReader(_Reader):
-    suffix = ".arrow"
-
-    def __init__(self, options, schema):
-        super().__init__(options)
-        self.names = [f.name for f in schema.fields]
-
-    def partitions(self):
-        return [_File(p) for p in arrow_files(self.path, self.options.get("split", "train"))] or [_File(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        for batch in arrow_batches(load(partition.value)):
-            yield batch.select(self.names)
-
-
 def arrow_batches(raw: bytes):
-    import pyarrow as pa
-
     try:
         file = pa.ipc.open_file(pa.BufferReader(raw))
         return [file.get_batch(i) for i in range(file.num_record_batches)]
@@ -267,34 +210,11 @@ def arrow_batches(raw: bytes):
         return list(pa.ipc.open_stream(pa.BufferReader(raw)))
 
 
-def arrow_files(path: str, split: str = "train") -> list[str]:
-    """Shards of a file or dataset folder; of a folder with splits, those of the split, or of the first if it has no such split."""
-    from pyarrow import fs
-
-    f, p = _fs(path)
-    told = f"{p.rstrip('/')}/dataset_dict.json"
-    if f.get_file_info(told).type == fs.FileType.File:
-        splits = json.loads(load(path.rstrip("/") + "/dataset_dict.json"))["splits"]
-        path = f"{path.rstrip('/')}/{split if split in splits else splits[0]}"
-    return listed(path, ".arrow")
-
-
 class ArrowSource(DataSource):
     @classmethod
     def name(cls):
         return "arrow_ipc"
 
-    def schema(self):
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        found = arrow_files(self.options["path"], self.options.get("split", "train"))
-        if not found:
-            raise SourceError(f"no Arrow file below {self.options['path']}")
-        return from_arrow_schema(arrow_batches(load(found[0]))[0].schema)
-
-    def reader(self, schema):
-        return ArrowReader(self.options, schema)
-
     def writer(self, schema, overwrite):
         return ArrowWriter(self.options, schema)
 
@@ -306,7 +226,6 @@ class ArrowWriter(DataSourceWriter):
     def write(self, iterator):
         import uuid
 
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(self.fields)
@@ -325,5 +244,5 @@ class ArrowWriter(DataSourceWriter):
 
 
 def register(spark) -> None:
-    for source in (MarkdownSource, ExcelSource, ArrowSource):
+    for source in (ExcelSource, ArrowSource):
         spark.dataSource.register(source)
