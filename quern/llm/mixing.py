@@ -8,8 +8,9 @@ diagonal and the step exact, with several margins the steps go round the margins
 
 Copies: floor(w) for all, and one more for the documents of a source whose key u / (w - floor(w)) is lowest, u being a
 hash of the key and size. How far to go is found by a search over digits of that key: one histogram (4096 bins a source)
-a level, refined in the bin where the remainder runs out; so no source is sorted or gathered in one task. At last, three
-times, one document a source changes by a copy, if its size mends most of what is left.
+a level, refined in the bin where the remainder runs out; so no source is sorted or gathered in one task. Where a large
+document did not fit, the search runs again over those that do; at last one document a source changes by a copy, if that
+mends what is left.
 
 Results: a null text has size 0; a null source is a source of its own, last in order. Targets: weights repeat over sources in
 code point order; a target stops at `most` times its source's size, the excess is shared anew by weight. With no words at
@@ -77,40 +78,50 @@ def rates(cells: DataFrame, margins: dict[str, DataFrame], tokens: str = "tokens
     return now.select(*cells.columns, F.exp("tilt").alias("rate"))
 
 
-def copies(rows: DataFrame, most: int = 3) -> DataFrame:
+def copies(rows: DataFrame, most: int = 3, near: float = 0.002) -> DataFrame:
     """rows: (source, size, rate, target, u, row) and more; u in (0, 1). Adds copies; per source, copies * size comes near target."""
     base = F.floor("rate")
     part = F.col("rate") - base
     r = F.when(part > 0, F.col("u") / part)
     low, high = F.pmod(F.xxhash64("row"), F.lit(1 << 24)), F.floor(r / (1 + r) * F.lit(float((1 << 36) - 1)))
-    keyed = cut(rows.withColumn("copies", base.cast("long")).withColumn("key", (high * (1 << 24) + low).cast("long")), "keyed")
-    open_ = keyed.where(F.col("key").isNotNull())
-    state = cut(keyed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest")).withColumn("prefix", F.lit(0).cast("long")), "search")
+    now = cut(rows.withColumn("copies", base.cast("long")).withColumn("key", (high * (1 << 24) + low).cast("long")), "keyed")
+    lack = lambda df: df.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"), F.first("target").alias("goal"))
     of = lambda table, s: table.join(s.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    shift = _DIGIT * _LEVELS
+    for turn in range(4):
+        rest = cut(lack(now), "rest")
+        if turn and (rest.agg(F.max(F.when(F.col("goal") > 0, F.col("rest") / F.col("goal")))).first()[0] or 0.0) <= near:
+            break
+        # at first the documents with a part of a copy left; then any that still fit, where a large one was passed over
+        some = now.where(F.col("key").isNotNull()) if not turn else of(now, rest.select("source", "rest")).where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))).withColumn("key", (F.floor(F.col("u") * F.lit(float((1 << 36) - 1))) * (1 << 24) + low).cast("long"))
+        more = _filling(some.select("source", "size", "key", "row"), rest.select("source", "rest"), of)
+        now = cut(now.join(more.select(F.col("row").alias("also")), F.col("row") == F.col("also"), "left").withColumn("copies", F.col("copies") + F.col("also").isNotNull().cast("long")).drop("also"), "rounded")
+    rest = lack(now).select("source", "rest")
+    can = F.when(F.col("rest") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.abs(F.abs("rest") - F.col("size")) < F.abs("rest"))
+    best = of(now, rest).where(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("rest") - F.col("size")).alias("left"), "u", "row", F.signum("rest").alias("change"))).alias("b"))
+    mended = now.join(best.select(F.col("b.row").alias("fix"), F.col("b.change").alias("change")), F.col("row") == F.col("fix"), "left")
+    return mended.withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long")).drop("fix", "change", "key")
+
+
+def _filling(rows: DataFrame, rest: DataFrame, of) -> DataFrame:
+    """Of rows (source, size, key, row), those of each source in order of key whose sizes add up to no more than its rest."""
+    state, shift = rest.withColumn("prefix", F.lit(0).cast("long")), _DIGIT * _LEVELS
     for _ in range(_LEVELS):
-        here = of(open_, state).where(F.shiftright("key", shift) == F.col("prefix"))
+        here = of(rows, state).where(F.shiftright("key", shift) == F.col("prefix"))
         shift -= _DIGIT
         bins = here.groupBy("source", "prefix", "rest", F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
         upto = F.sum("s").over(Window.partitionBy("source").orderBy("bin"))
-        found = bins.withColumn("upto", upto).withColumn("ends", (F.col("upto") > F.col("rest"))).groupBy("source").agg(F.min(F.when(F.col("ends"), F.col("bin"))).alias("bin"), F.max("bin").alias("top"), F.first("rest").alias("rest"), F.min_by(F.struct("upto", "s", "n"), F.when(F.col("ends"), F.col("bin"))).alias("cross"))
+        ended = bins.withColumn("upto", upto).withColumn("ended", F.when(F.col("upto") > F.col("rest"), F.col("bin")))
+        found = ended.groupBy("source").agg(F.min("ended").alias("bin"), F.max("bin").alias("top"), F.first("rest").alias("rest"), F.min_by(F.struct("upto", "s", "n"), "ended").alias("cross"))
         # where nothing runs out, all are taken: the prefix moves past the last bin and nothing is open below it
         state = cut(found.select("source", F.when(F.col("bin").isNotNull(), F.col("rest") - (F.col("cross.upto") - F.col("cross.s"))).otherwise(0.0).alias("rest"), F.coalesce("bin", F.col("top") + 1).alias("prefix"), F.coalesce("cross.n", F.lit(0)).alias("n")), "search")
-        if (state.agg(F.max("n")).first()[0] or 0) <= _FEW:
-            state = state.drop("n")
-            break
+        most = state.agg(F.max("n")).first()[0] or 0
         state = state.drop("n")
-    at = keyed.join(state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("place", F.shiftright("key", shift))
-    ends = at.where(F.col("place") == F.col("prefix"))
+        if most <= _FEW:
+            break
+    at = of(rows, state).withColumn("place", F.shiftright("key", shift))
     order = Window.partitionBy("source").orderBy("key", "row")
-    more = ends.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).select(F.col("row").alias("also"))
-    chosen = cut(at.join(more, F.col("row") == F.col("also"), "left").withColumn("copies", F.col("copies") + F.when((F.coalesce(F.col("place") < F.col("prefix"), F.lit(False))) | F.col("also").isNotNull(), 1).otherwise(0)).select(*rows.columns, "copies"), "rounded")
-    for _ in range(3):
-        lack = chosen.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")).withColumnRenamed("source", "of")
-        can = F.when(F.col("lack") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.abs(F.abs("lack") - F.col("size")) < F.abs("lack"))
-        best = chosen.join(lack, F.col("source").eqNullSafe(F.col("of"))).where(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("lack") - F.col("size")).alias("left"), "u", "row", F.signum("lack").alias("change"))).alias("b"))
-        chosen = cut(chosen.join(best.select(F.col("b.row").alias("fix"), F.col("b.change").alias("change")), F.col("row") == F.col("fix"), "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long")).drop("fix", "change"), "mended")
-    return chosen
+    last = at.where(F.col("place") == F.col("prefix")).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= F.col("rest"))
+    return at.where(F.col("place") < F.col("prefix")).select("row").union(last.select("row"))
 
 
 def decide(docs: DataFrame, columns: list[str], *, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
