@@ -186,7 +186,7 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn(words: DataFrame, pieces: list[str], logs: np.ndarray, texts: int, rounds: int = 2, prior: float = 0.1) -> Lattice:
+def learn(words: DataFrame, pieces: list[str], logs: np.ndarray, texts: int, rounds: int = 4, prior: float = 0.1) -> Lattice:
     """Expectation maximisation of the pieces' probabilities over word counts (rows word, c > 0)."""
     end = 0.0
     for _ in range(rounds if texts else 0):
@@ -209,7 +209,7 @@ def learn(words: DataFrame, pieces: list[str], logs: np.ndarray, texts: int, rou
     return Lattice(pieces, logs, end if texts and rounds else math.log(1 / 256))
 
 
-def score(docs: DataFrame, training, *, text: str = "text", key: str = "doc_id", vocabulary: tuple[list[str], np.ndarray] | None = None, rounds: int = 2, prior: float = 0.1, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, training, *, text: str = "text", key: str = "doc_id", vocabulary: tuple[list[str], np.ndarray] | None = None, rounds: int = 4, prior: float = 0.1, head: int = HEAD) -> DataFrame:
     """A row for each row of docs: key, n_tokens, n_known, train_tokens, base_score, score. training: a boolean column over docs."""
     pieces, logs = vocabulary or load_vocabulary()
     ten = math.log(10)
