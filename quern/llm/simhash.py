@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how)
     """docs without near-duplicates: of each class the row with the smallest key stays (one row, if the key repeats). Rows without a key stay."""
     found = cut(classes(docs.select(key, text), text=text, key=key, **how), "classes")
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti")
+    kept = docs.hint("merge").join(gone, key, "left_anti")  # one plan at every size; a hot key's rows may be split
     if found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))
     return kept.select(*docs.columns)
