@@ -6,7 +6,7 @@ matches in code points, end exclusive. The battery looks at tokens of 20 or more
 1. Encoding: hex, base32, base36, base62 or base64, the smallest alphabet that holds the token; digits alone are none.
 2. Uniformity: chi-squared of the symbols over that alphabet (Wilson-Hilferty), runs above and below the alphabet's middle,
    and correlation of neighbours; a token whose smallest p-value, times three, is below `alpha` is not random.
-3. Evidence against ordinary writing, where neighbours rarely differ in class (digit, upper, lower, other): the upper tail
+3. Evidence against ordinary writing, where neighbours rarely differ in class (digit, upper, lower; marks between words are left out): the upper tail
    of the class changes among n - 1 neighbours at the rate ORDINARY. Longer tokens can say more, so the p-value is divided
    by a weight that grows with length (weights have mean 1 over the corpus), and the Benjamini-Hochberg rule at level `fdr` runs
    over all candidates of the corpus, with p-values in bins of a tenth of a decade (rounded up, so it errs to the safe side).
@@ -31,6 +31,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # maximal runs, so shorter ones cannot hide
 RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ORDINARY = 0.15
+#: Length from which on a longer token weighs no more.
+LONGEST = 256
 _SPAN = "array<struct<s: int, e: int, x: string>>"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -64,7 +66,7 @@ def tested(tokens: Column, alpha: float) -> Column:
         x = c.x
         size = F.when(x.rlike("^[0-9]+$"), 0).when(x.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(x.rlike("^[A-Z2-7]+$"), 32).when(x.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), 36).when(x.rlike("^[A-Za-z0-9]+$"), 62).otherwise(64)
         shown = F.when(size.isin(16, 36), F.lower(x)).otherwise(F.translate(x, "-_", "+/"))
-        return F.struct(c.s.alias("s"), c.e.alias("e"), size.alias("k"), F.filter(F.split(shown, ""), lambda y: y != "").alias("c"), F.filter(F.split(x, ""), lambda y: y != "").alias("raw"))
+        return F.struct(c.s.alias("s"), c.e.alias("e"), size.alias("k"), F.filter(F.split(shown, ""), lambda y: y != "").alias("c"), F.filter(F.split(F.translate(x, "-_/+", ""), ""), lambda y: y != "").alias("raw"))
 
     def numbered(c: Column) -> Column:
         order = F.when(c.k == 16, _DIGITS + "abcdef").when(c.k == 32, _UPPER + "234567").when(c.k == 36, _DIGITS + _LOWER).otherwise(_UPPER + _LOWER + _DIGITS + "+/")
@@ -86,7 +88,7 @@ def tested(tokens: Column, alpha: float) -> Column:
             add(F.transform(pairs(c.i, c.n), lambda p: ((p.a > half) != (p.b > half)).cast("int"))).alias("turns"),
             add(F.transform(pairs(c.i, c.n), lambda p: (p.a - mean) * (p.b - mean))).alias("near"),
             add(F.transform(c.i, lambda v: (v - mean) * (v - mean))).alias("spread"),
-            add(F.transform(pairs(c.kind, c.n), lambda p: (p.a != p.b).cast("int"))).alias("changes"),
+            add(F.transform(pairs(c.kind, F.greatest(F.size(c.kind), F.lit(1))), lambda p: (p.a != p.b).cast("int"))).alias("changes"),
         )
 
     def judged(c: Column) -> Column:
@@ -106,7 +108,11 @@ def tested(tokens: Column, alpha: float) -> Column:
 
 
 def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, fdr: float = 0.01, alpha: float = 0.001, into: str = "secrets") -> DataFrame:
-    """The columns `carry` of docs (all by default) and an array of spans: kind number (as in KINDS), start, end; in order."""
+    """The columns `carry` of docs (all by default) and an array of spans: kind number (as in KINDS), start, end; in order.
+
+    The rule over all candidates needs the corpus twice. Where the text is carried, it is scanned twice, so that no copy of the texts is
+    written; else what the first scan found is a narrow table in shared storage.
+    """
     kept = [c for c in (docs.columns if carry is None else carry) if c != into]
     given = F.struct(*kept).alias("given")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -119,7 +125,9 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
     base = F.concat(*[F.transform(F.col(k), of_kind(i)) for i, k in enumerate(KINDS[:3])])
     held = placed.select("given", F.array_sort(base).alias("base"), "random")
     fresh = F.filter("random", lambda c: ~F.exists("base", lambda b: (b.s <= c.s) & (b.e >= c.e)))
-    found = cut(held.select("given", "base", tested(fresh, alpha).alias("random")), "secrets")
+    found = held.select("given", "base", tested(fresh, alpha).alias("random"))
+    if text not in kept:
+        found = cut(found, "secrets")
     limit = bound(found.select(F.explode("random").alias("c")).select("c.n", "c.p"), fdr)
     more = F.transform(F.filter("random", lambda c: rank(c.p, c.n, limit[1]) >= limit[0]), of_kind(3))
     spans_ = F.when(F.size("random") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", more)))
@@ -128,21 +136,27 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
 
 def rank(p: Column, n: Column, mean: float) -> Column:
     """Bin of a weighted p-value: tenths of a decade, the higher the smaller p is."""
-    weighted = F.least(F.lit(1.0), F.greatest(p, F.lit(1e-300)) / (n / F.lit(mean)))
+    weighted = F.least(F.lit(1.0), F.greatest(p, F.lit(1e-300)) / (F.least(n, F.lit(LONGEST)) / F.lit(mean)))
     return F.floor(-10 * F.log10(weighted)).cast("int")
 
 
 def bound(candidates: DataFrame, fdr: float) -> tuple[int, float]:
     """The lowest bin that the Benjamini-Hochberg rule admits (beyond all bins if none) and the mean length."""
-    mean = candidates.agg(F.avg("n")).first()[0]
-    if not mean:
+    n = F.least("n", F.lit(LONGEST)).cast("int")
+    rows = candidates.groupBy(n.alias("n"), F.floor(-100 * F.log10(F.greatest("p", F.lit(1e-300)))).cast("int").alias("at")).count().collect()  # by length and hundredths of a decade: bounded, and one pass
+    total = sum(r["count"] for r in rows)
+    if not total:
         return 1 << 30, 1.0
-    bins = sorted(candidates.groupBy(rank(F.col("p"), F.col("n"), mean).alias("bin")).count().collect(), reverse=True)  # at most some 3,100 rows
-    total, so_far, lowest = sum(b["count"] for b in bins), 0, 1 << 30
-    for b in bins:
-        so_far += b["count"]
-        if 10 ** (-b.bin / 10) <= fdr * so_far / total:
-            lowest = b.bin
+    mean = sum(r.n * r["count"] for r in rows) / total
+    bins: dict[int, int] = {}
+    for r in rows:
+        k = math.floor(max(0.0, r.at / 10 + 10 * math.log10(r.n / mean)))
+        bins[k] = bins.get(k, 0) + r["count"]
+    so_far, lowest = 0, 1 << 30
+    for k in sorted(bins, reverse=True):
+        so_far += bins[k]
+        if 10 ** (-k / 10) <= fdr * so_far / total:
+            lowest = k
     return lowest, mean
 
 
