@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import map_batches
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 #: Scale of the one-versus-rest values (targets are -1 and 1) in the softmax.
 SHARPNESS = 4.0
 _MIX = (np.uint32(0), np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -60,7 +60,7 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(bits: np.ndarray, labels: list[str], landmarks: int = 384, ridge: float = 1e-3, rows_at_once: int = 128) -> Model:
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3, rows_at_once: int = 128) -> Model:
     """bits: rows x BUCKETS / 8, packed presence, in an order that is already random; landmarks are its first rows, dealt over languages."""
     languages = sorted(set(labels))
     turn: dict[str, int] = {}
@@ -84,7 +84,7 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = 384, ridge: float
     return Model(languages, marks.T @ (white @ beta).astype(np.float32), mean - centre @ beta)
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1500) -> Model | None:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1000) -> Model | None:
     """Fit on a bounded sample of docs: rows whose key hashes below per_language / (rows of their language)."""
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"), F.col(key).cast("string").alias("k")).where("t IS NOT NULL AND l IS NOT NULL")
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
