@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? and closing marks before white space, and at line ends); a sentence over LONG words is
-cut further after words that a hash picks, so that long lines share cuts wherever a passage lies in them. From every
+cut further after words that a hash picks (and after PIECE words without one), so that long lines share cuts wherever a
+passage lies in them. From every
 sentence starts a span: at least `sentences` sentences and at least `words` words (a text without so many words left is
 its last span). Spans are hashed over their words, A-Z lowered and white space made even. Hashes are joined over the whole
 corpus; the first occurrence, by doc_id and place, stays; sentences covered by any other occurrence of a repeated span go.
@@ -24,7 +25,7 @@ from .common import cut, map_batches
 
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
-LONG = 24
+LONG, PIECE = 24, 16
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
@@ -37,10 +38,12 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
             words = list(_WORD.finditer(text, at, end))
             start = at
             if len(words) > LONG:
+                since = 0
                 for w, following in zip(words, words[1:], strict=False):
-                    if xxhash.xxh32_intdigest(w[0].encode()) % 8 == 0:
+                    since += 1
+                    if since == PIECE or xxhash.xxh32_intdigest(w[0].encode()) % 8 == 0:
                         out.append((start, following.start()))
-                        start = following.start()
+                        start, since = following.start(), 0
             out.append((start, end))
             at = end
     return out
