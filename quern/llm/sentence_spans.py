@@ -8,14 +8,14 @@ its last span). Spans are hashed over their words, A-Z lowered and white space m
 corpus; the first occurrence, by doc_id and place, stays; sentences covered by any other occurrence of a repeated span go.
 
 Results: null and blank texts have no sentences and stay as they are. Rows with the same doc_id and text are one document, so
-they are treated alike; a null doc_id sorts first. Tables may be empty. Long texts are read whole; the hash has 64 bits twice
-(a span's hash and its place-free check), so unlike spans do not meet. Columns of docs stay; removed text takes the white space after it along.
+they are treated alike; a null doc_id sorts first. Tables may be empty. Long texts are read whole; hashes have 128 bits. Columns of docs stay; removed text takes the white space after it along.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,8 @@ def spans_of(text: str, sentences: int, words: int) -> tuple[list[tuple[int, int
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sentences: int = 3, words: int = 15) -> DataFrame:
     """docs with repeated sentences removed from the text, n_sentences and removed (spans of characters in the old text)."""
-    print_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    print_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))  # beside a key, half of it will do
+    print_ = F.when(F.col(key).isNull(), print_).otherwise(print_.bitwiseAND(F.lit(0xFFFFFFFF)))
     kind = docs.schema[key].dataType
 
     def make():
@@ -81,16 +82,19 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
                     hashes.append(h)
                     first.append(i)
                     length.append(n)
-            rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes, pa.binary()), pa.array(first, pa.int32()), pa.array(length, pa.int32())], names=["k", "p", "h", "i", "n"])
+            rows, h = pa.array(at, pa.int32()), np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(first, pa.int32()), pa.array(length, pa.int32())], names=["k", "p", "h", "h2", "i", "n"])
 
         return step
 
-    schema = T.StructType([T.StructField("k", kind), T.StructField("p", T.LongType()), T.StructField("h", T.BinaryType()), T.StructField("i", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("k", kind), T.StructField("p", T.LongType()), T.StructField("h", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("n", T.IntegerType())])
     runs = cut(map_batches(docs.select(F.col(key).alias("k"), print_.alias("p"), F.col(text).cast("string").alias("t")), schema, make), "spans")
+    # counts by half a hash are small to shuffle and leave few rows; those are then told apart by the whole hash
+    often = cut(runs.groupBy("h").count().where("count > 1").select("h"), "often")
+    rest = cut(runs.join(often, "h", "left_semi"), "repeats")
     place = F.struct("k", "p", "i")
-    repeated = runs.groupBy("h").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least != most").select(F.col("h").alias("h2"), "least")
-    covered = runs.join(repeated, F.col("h") == F.col("h2")).where(~place.eqNullSafe(F.col("least"))).groupBy(F.col("k").alias("__k__"), F.col("p").alias("__p__")).agg(F.collect_set(F.struct("i", "n")).alias("__gone__"))
+    least = cut(rest.groupBy("h", "h2").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
+    covered = rest.join(least, ["h", "h2"]).where(~place.eqNullSafe(F.col("least"))).groupBy(F.col("k").alias("__k__"), F.col("p").alias("__p__")).agg(F.collect_set(F.struct("i", "n")).alias("__gone__"))
     joined = docs.join(covered, F.col(key).eqNullSafe(F.col("__k__")) & (print_ == F.col("__p__")), "left").select(*docs.columns, "__gone__")
     kept = [c for c in docs.columns if c not in ("n_sentences", "removed")]
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_sentences", T.LongType()), *T._parse_datatype_string("removed array<struct<start: bigint, end: bigint>>").fields])
