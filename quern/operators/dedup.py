@@ -77,6 +77,8 @@ def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> Dat
     """Greedy choice in order, in parallel rounds: a row stays once no earlier neighbour is open or kept, and goes once one is kept."""
     open_, kept = cut(nodes.select("ord"), "open"), None
     edges = cut(edges, "near")
+    if not edges.limit(1).count():
+        return open_
     for _ in range(most_rounds):
         free = cut(open_.join(edges.select(F.col("new").alias("ord")).distinct(), "ord", "left_anti"), "free")
         kept = free if kept is None else kept.union(free)
