@@ -3,8 +3,8 @@
 Rates: among all document rates w that meet the token targets of every group (sum of w * size = target), those nearest to
 1 in relative entropy, counted per token. Its convex dual has one multiplier a group and the optimum is the
 exponential tilt w = exp(sum of the multipliers of the document's groups). Newton steps run on cells (distinct
-combinations of groups with their tokens), each one distributed aggregate and a join; with one margin the Hessian is
-diagonal and the step exact, with several margins the steps go round the margins.
+combinations of groups with their tokens), each one distributed aggregate and a join. A step solves the logarithms of a
+margin's moment conditions, whose Jacobian is diagonal, so steps need no damping; several margins take turns.
 
 Copies: floor(w) for all, and one more for the documents of a source whose key u / (w - floor(w)) is lowest, u being a
 hash of the key and size. How far to go is found by a search over digits of that key: one histogram (4096 bins a source)
@@ -68,9 +68,9 @@ def rates(cells: DataFrame, margins: dict[str, DataFrame], tokens: str = "tokens
         for column, wanted in margins.items():
             sums = now.groupBy(F.col(column).alias("g")).agg(F.sum(F.col(tokens) * F.exp("tilt")).alias("got"))
             goal = wanted.select(F.col(column).alias("h"), "target")
-            step = sums.join(goal, F.col("g").eqNullSafe(F.col("h")), "left").select("g", F.when(F.col("target").isNull() | (F.col("got") == 0), 0.0).when(F.col("target") == 0, F.lit(float("-inf"))).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("target") / F.col("got") - 1))).alias("step"))
+            step = sums.join(goal, F.col("g").eqNullSafe(F.col("h")), "left").select("g", F.when(F.col("target").isNull() | (F.col("got") == 0), 0.0).when(F.col("target") == 0, F.lit(float("-inf"))).otherwise(F.log(F.col("target") / F.col("got"))).alias("step"))
             now = cut(now.join(step, F.col(column).eqNullSafe(F.col("g"))).select(*cells.columns, (F.col("tilt") + F.col("step")).alias("tilt"), "step"), "dual")
-            worst = max(worst, now.agg(F.max(F.when(F.abs("step") < 2, F.abs("step")).otherwise(0.0))).first()[0] or 0.0)
+            worst = max(worst, now.agg(F.max(F.when(F.abs("step") < 1e300, F.abs("step")).otherwise(0.0))).first()[0] or 0.0)
             now = now.drop("step")
         if worst <= near or (len(margins) > 1 and last is not None and worst >= last and turn > 20):
             break
