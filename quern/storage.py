@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
+        found = _OWN[app]
     return found.rstrip("/")
 
 
