@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Folders of our own, by application.
 _OWN: dict[str, str] = {}
+#: Tables that were cut: application and path.
+_CUT: list[tuple[str, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written to the shared folder and read back; release() deletes such tables once results that need them are written."""
     path = f"{shared_dir(df.sparkSession)}/quern-{label}-{uuid.uuid4().hex}"
+    _CUT.append((df.sparkSession.sparkContext.applicationId, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this application has cut so far; DataFrames that read them are of no more use."""
+    app = spark.sparkContext.applicationId
+    mine = [p for a, p in _CUT if a == app]
+    for path in mine:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _CUT[:] = [x for x in _CUT if x[0] != app]
+    return len(mine)
