@@ -177,6 +177,7 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle
     linked = components(links(one, "f", distance)).join(one, F.col("node") == F.col("f")).select("f", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("id"))
     named = one.join(linked.join(least, "component").select("f", "id", F.lit(True).alias("found")), "f", "left").select("f", F.when(F.col("found"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    named = cut(named, "named")  # then both sides of the join below are plain shuffles, and rows of a hot fingerprint may be split
     return rows.join(named, "f").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
