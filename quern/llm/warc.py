@@ -19,7 +19,6 @@ import html
 import re
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
