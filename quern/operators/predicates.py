@@ -32,7 +32,7 @@ class Condition:
 
 
 def number(c: Column) -> Column:
-    return F.expr("try_cast(x AS double)") if c is None else c.try_cast("double")
+    return c.try_cast("double")
 
 
 def holds(c: Column, op: str, value: Any = None) -> Column:

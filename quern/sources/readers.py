@@ -103,8 +103,10 @@ def _split_of(spark: SparkSession, path: str, split: str) -> str:
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
-    """A dataset by format, which is detected if none is given."""
+    """A dataset by format, which is detected if none is given. encoding="auto" takes a file's encoding from its first bytes."""
     kind = format or detect.detect(spark, path)
+    if options.get("encoding") == "auto":
+        options["encoding"] = detect.encoding(detect.first_bytes(spark, path))
     if kind in ("csv", "tsv"):
         return csv(spark, path, **({"sep": "\t"} if kind == "tsv" else {}) | options)
     simple = {"jsonl": jsonl, "json": json, "text": text_lines, "xml": xml}

@@ -47,6 +47,11 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in read(spark, path, infer=False).collect()] == [("1", ""), ("2", "x,\ny")]
 
 
+def test_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("a,b\n1,中文\n".encode("gb18030"))
+    assert read(spark, str(tmp_path / "a.csv"), encoding="auto").first().b == "中文"
+
+
 def test_text_xml(spark, tmp_path):
     path = put(tmp_path / "a.txt", "one\r\ntwo\n")
     assert [tuple(r) for r in readers.text_lines(spark, path).orderBy("line_number").collect()] == [(1, "one"), (2, "two")]
