@@ -3,7 +3,7 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
 
-language_id: documents without a letter, or whose best language scores below LEAST_SCORE, go.
+language_id: documents that have no language (no text, no letter) go; a doubtful language is no reason to lose a document.
 simhash_near_dedup: of each class of near-duplicates the document with the smallest doc_id stays.
 decontamination: contaminated documents go.
 secret_scan: every secret is replaced by a mask; n_chars follows the text. No document goes.
@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, language, mixing, secret_scan, simhash
 from quern.llm.common import cut
 
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language.identify(docs, language.train(docs), label="__lang__", score="__score__")
-    return found.where((F.col("__lang__") != "und") & (F.col("__score__") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where(F.col("__lang__") != "und").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
