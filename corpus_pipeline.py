@@ -4,7 +4,8 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
 
 language_id: documents that have no language (no text, no letter) go; a doubtful language is no reason to lose a document.
-simhash_near_dedup: of each class of near-duplicates the document with the smallest doc_id stays.
+simhash_near_dedup: of each class of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more, all pairs: quern.llm.near_text)
+   the document with the smallest doc_id stays.
 decontamination: contaminated documents go.
 secret_scan: every secret is replaced by a mask; n_chars follows the text. No document goes.
 mixing: each document comes as often as the mix takes it, with the number of the copy.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language, mixing, secret_scan, simhash
+from quern.llm import decontaminate, language, mixing, near_text, secret_scan, simhash
 from quern.llm.common import cut
 
 
@@ -25,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, by=near_text.classes)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

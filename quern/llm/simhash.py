@@ -181,9 +181,9 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle
     return rows.join(named, "f").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest key stays (one row, if the key repeats). Rows without a key stay."""
-    found = cut(classes(docs.select(key, text), text=text, key=key, **how), "classes")
+def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", by=classes, **how) -> DataFrame:
+    """docs without near-duplicates: of each class (as told by `by`) the row with the smallest key stays (one row, if the key repeats). Rows without a key stay."""
+    found = cut(by(docs.select(key, text), text=text, key=key, **how), "classes")
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = docs.hint("merge").join(gone, key, "left_anti")  # one plan at every size; a hot key's rows may be split
     if found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").limit(1).count():
