@@ -2,8 +2,9 @@
 
 Equal vectors fall together first. A bounded sample of the distinct ones (SAMPLE rows, chosen by hash) fits a principal
 component projection and the rotation that brings it nearest to the corners of the cube (iterative quantisation), giving
-up to 64 balanced bits; every vector is coded. TABLES substrings of the code, of about log2(n / BUCKET) bits each and spread evenly over it, are
-the keys of the Hamming tables; vectors that share a key in a table are compared by their original vectors in double
+up to 64 balanced bits; every vector is coded. Parts of the code, of about log2(n / BUCKET) bits each, are the keys of the Hamming
+tables: TABLES substrings spread evenly over it, then random choices of bits, so many that pairs at the threshold share a key with a
+predicted frequency of RECALL, however long the keys; vectors that share a key in a table are compared by their original vectors in double
 precision. A pair counts in the first table that brings it together, so no list of pairs is made: a bucket yields, for each
 vector, how many vectors it links with and one tree over its links. A bucket over CHUNK vectors is dealt into chunks, and
 pairs of chunks are compared in different tasks.
@@ -26,8 +27,11 @@ from pyspark.sql import types as T
 from .common import components, cut, map_batches
 
 SAMPLE = 8192
-TABLES = 8
-BUCKET = 8
+#: Tables at least and at most.
+TABLES, MOST = 8, 64
+BUCKET = 128
+#: Predicted recall of pairs at the threshold, and the pairs it is predicted from.
+RECALL, PAIRS = 0.95, 8192
 CHUNK = 256
 GROUP = 1024
 
@@ -54,11 +58,28 @@ class Quantiser:
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def windows(bits: int, rows: int) -> list[tuple[int, int]]:
-    """(shift, length) of each table's substring."""
-    length = min(bits, max(8, min(28, math.ceil(math.log2(max(2, rows / BUCKET))))))
-    count = TABLES if bits > length else 1
-    return sorted({(round(k * (bits - length) / max(1, count - 1)), length) for k in range(count)})
+def tables(quantiser: Quantiser, unit: np.ndarray, rows: int, threshold: float, seed: int = 13) -> np.ndarray:
+    """unit: vectors that the quantiser was not fitted on, where there are enough. Masks of the bits that are each table's key: so many tables that pairs at the threshold itself share a key with a
+    frequency of RECALL or more, by simulation. Where MOST tables do not suffice, keys are shorter and buckets larger."""
+    rng = np.random.default_rng(seed)
+    a = unit[rng.integers(0, len(unit), PAIRS)]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    size = np.linalg.norm(side, axis=1, keepdims=True)
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * side / np.where(size > 0, size, 1)
+    differ = quantiser.codes(a) ^ quantiser.codes(b)
+    for length in range(min(quantiser.bits, max(8, min(28, math.ceil(math.log2(max(2, rows / BUCKET)))))), 0, -1):
+        last = max(1, TABLES - 1)
+        spread = sorted({round(k * (quantiser.bits - length) / last) for k in range(TABLES)})
+        masks = [((1 << length) - 1) << shift for shift in spread]
+        met = np.zeros(PAIRS, dtype=bool)
+        for k in range(MOST):
+            if k >= len(masks):
+                masks.append(sum(1 << int(x) for x in rng.choice(quantiser.bits, length, replace=False)))
+            met |= (differ & np.uint64(masks[k])) == 0
+            if k + 1 >= len(spread) and met.mean() >= RECALL:
+                return np.array(list(dict.fromkeys(masks[: k + 1])), dtype=np.uint64)
+    return np.zeros(1, dtype=np.uint64)
 
 
 def unit_rows(column) -> np.ndarray:
@@ -130,9 +151,10 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     sample = np.array([r.v for r in classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()])
     sample = sample / np.abs(sample).max(axis=1, keepdims=True)
-    quantiser = Quantiser(sample / np.linalg.norm(sample, axis=1, keepdims=True))
-    spots = windows(quantiser.bits, n)
-    masks = np.array([((1 << length) - 1) << shift for shift, length in spots], dtype=np.uint64)
+    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    held = np.arange(len(sample)) % 4 == 3 if len(sample) >= 64 else np.ones(len(sample), dtype=bool)
+    quantiser = Quantiser(sample[~held] if not held.all() else sample)
+    masks = tables(quantiser, sample[held], n, threshold)  # the codes fit rows better that they were fitted on
     sent = spark.sparkContext.broadcast((quantiser, masks))
     coded_type = T.StructType([classes.schema[c] for c in ("node", "copies", "v")] + [T.StructField("code", T.LongType())])
 
@@ -145,15 +167,15 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
         return step
 
     coded = cut(map_batches(classes.select("node", "copies", "v"), coded_type, make), "codes")
-    keyed = coded.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(len(spots))])))
-    key = F.element_at(F.array(*[F.shiftrightunsigned("code", shift).bitwiseAND(F.lit((1 << length) - 1)) for shift, length in spots]), F.col("t") + 1)
+    keyed = coded.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(len(masks))])))
+    key = F.element_at(F.array(*[F.col("code").bitwiseAND(F.lit(int(m)).cast("long")) for m in masks.view(np.int64)]), F.col("t") + 1)
     keyed = keyed.withColumn("key", key)
     large = keyed.groupBy("t", "key").count().where(F.col("count") > CHUNK).select("t", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     dealt = keyed.join(large, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("own") == F.col("j")).cast("int")))
-    groups = max(64, n * len(spots) // GROUP)
+    groups = max(64, n * len(masks) // GROUP)
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("t", "key", "i", "j"), F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:
