@@ -113,7 +113,10 @@ def _filling(rows: DataFrame, rest: DataFrame, of) -> DataFrame:
         ended = bins.withColumn("upto", upto).withColumn("ended", F.when(F.col("upto") > F.col("rest"), F.col("bin")))
         found = ended.groupBy("source").agg(F.min("ended").alias("bin"), F.max("bin").alias("top"), F.first("rest").alias("rest"), F.min_by(F.struct("upto", "s", "n"), "ended").alias("cross"))
         # where nothing runs out, all are taken: the prefix moves past the last bin and nothing is open below it
-        state = cut(found.select("source", F.when(F.col("bin").isNotNull(), F.col("rest") - (F.col("cross.upto") - F.col("cross.s"))).otherwise(0.0).alias("rest"), F.coalesce("bin", F.col("top") + 1).alias("prefix"), F.coalesce("cross.n", F.lit(0)).alias("n")), "search")
+        told = found.select(F.col("source").alias("of"), F.when(F.col("bin").isNotNull(), F.col("rest") - (F.col("cross.upto") - F.col("cross.s"))).otherwise(0.0).alias("left"), F.coalesce("bin", F.col("top") + 1).alias("to"), F.coalesce("cross.n", F.lit(0)).alias("n"))
+        # a source that is finished has no row at its prefix and is not among them; its prefix gets one more digit, so all below stay taken
+        kept = state.join(told, F.col("source").eqNullSafe(F.col("of")) & F.col("to").isNotNull(), "left")
+        state = cut(kept.select("source", F.coalesce("left", "rest").alias("rest"), F.coalesce("to", F.shiftleft("prefix", _DIGIT)).alias("prefix"), F.coalesce("n", F.lit(0)).alias("n")), "search")
         most = state.agg(F.max("n")).first()[0] or 0
         state = state.drop("n")
         if most <= _FEW:
