@@ -9,7 +9,9 @@ lines by default (a line end belongs to the line before it, so that lines cover
 sections are counted in a section with null name, one for each gap.
 
 Results: a null or empty text has no sections and gives no rows. Repeated rows are counted each. The sum over a text's sections is its
-number of tokens. Texts are encoded whole, whatever their length. An empty table gives no rows.
+number of tokens. Texts are encoded whole, whatever their length; a long run of white space goes to the merges by itself, which is what the
+splitting pattern does with it (Encoder.pieces). Ties: a token that lies in two sections by equal shares goes to the first. Columns of docs other
+than key, text and sections play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before merges, for the rank files above.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LINE = re.compile(r"[^\n]*\n+|[^\n]+")
+#: Runs of what the pattern above takes for white space (Unicode's White_Space), too long for its look-ahead to step back through.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1024,}")
 
 
 class Encoder:
@@ -41,9 +45,20 @@ class Encoder:
         for p, i in pieces.items():
             self.lengths[i] = len(p)
 
+    def pieces(self, text: str) -> list[int]:
+        """Token ids. Of a run of white space the pattern takes all but its last character as one piece (all of it at the end of the
+        text) and goes on at that character, so cutting the text there changes nothing; the piece goes straight to the merges."""
+        out, at = [], 0
+        for run in _BLANKS.finditer(text):
+            last = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.encoding.encode_ordinary(text[at : run.start()])
+            out += self.encoding._encode_single_piece(text[run.start() : last].encode())
+            at = last
+        return out + self.encoding.encode_ordinary(text[at:])
+
     def ends(self, text: str) -> np.ndarray:
         """Where each token ends, in bytes."""
-        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), dtype=np.int64)])
+        return np.cumsum(self.lengths[np.array(self.pieces(text), dtype=np.int64)])
 
 
 def lines_of(text: str) -> list[tuple[str | None, int, int]]:
