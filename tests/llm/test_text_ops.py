@@ -283,7 +283,7 @@ def test_warc(spark):
     told = dict(x.split(": ", 1) for x in bytes(meta.block).decode().split("\r\n") if x)
     assert told["source-header-server"] == "s" and told["title"] == "T & u" and told["outlinks"] == "1" and told["source-payload-digest"] == warc.digest(page) and told["conversion-digest"] == conv.block_digest
     assert "WARC-Refers-To: <urn:uuid:1>\r\n" in conv.headers and "WARC-Target-URI" not in next(r for r in got if r.refers_to == "<urn:uuid:2>").headers
-    again = warc.parse(b"".join(map(warc.serialise, got)))
+    again = list(warc.parse(b"".join(map(warc.serialise, got))))
     assert [(h["warc-record-id"], b) for h, b in again] == [(r.record_id, bytes(r.block)) for r in got]
     assert all(warc.digest(b) == h["warc-block-digest"] for h, b in again)
     assert warc.derive(df.limit(0)).count() == 0
