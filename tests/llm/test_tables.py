@@ -209,7 +209,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = c.run(spark, str(tmp_path)).collect()
     # the same by plain Python, but for the language and battery decisions, which are the operators' own
-    machine = decontaminate.build([("1", item.encode())], 13)
+    machine = decontaminate.Windows([("1", item.encode())], 13)
     kept, groups = [], Union(len(rows))
     live = [r for r in rows if language.has_letter(r[1])]
     prints = {r[0]: simhash.fingerprint(r[1].encode()) for r in live}
@@ -218,7 +218,7 @@ def test_pipeline(spark, tmp_path):
             if bin(prints[a[0]] ^ prints[b[0]]).count("1") <= 3:
                 groups.join(a[0], b[0])
     for r in live:
-        n, runs, _ = decontaminate.scan(machine, r[1].encode())
+        n, runs, _ = machine.scan(r[1].encode())
         hit = sum(b - a for a, b in runs)
         if groups.find(r[0]) == r[0] and not (hit and 20 * hit >= n):
             kept.append(r)

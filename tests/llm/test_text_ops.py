@@ -126,9 +126,10 @@ def brute_hits(text, items, window):
     return len(w), len(hit), sorted(i for i in ids if i is not None)
 
 
-@pytest.mark.parametrize("slice_bytes", [10**9, 120])
-def test_decontamination(spark, monkeypatch, slice_bytes):
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)
+@pytest.mark.parametrize("part_bytes, piece", [(10**9, 2000), (120, 2000), (250, 3), (40, 1)])
+def test_decontamination(spark, monkeypatch, part_bytes, piece):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     rnd = random.Random(2)
     items = [(i, prose(rnd, n)) for i, n in enumerate((20, 3, 1, 13, 40, 0))] + [(7, None), (None, "lone words here"), (1, "More Ünder (one) id")]
     rows = [(i, prose(rnd, 30) + " " + rnd.choice(items[:5])[1].upper() + "—" + prose(rnd, 30), "en", "s", "clash") for i in range(40)] + ODD + [(950, "lone words here, more ünder ONE id", None, None, "x")]
@@ -140,9 +141,31 @@ def test_decontamination(spark, monkeypatch, slice_bytes):
         n, hit, ids = brute_hits(r.text, [(None if i is None else str(i), t) for i, t in items], 5)
         c = r.contamination
         assert (c.n_words, c.n_hit, sorted(c["items"]), c.contaminated) == (n, hit, ids, hit > 0 and 20 * hit >= n)
-        if slice_bytes > 1000:
-            inside = sum(len(brute_hits(r.text[a:b], [], 5)[:1]) and brute_hits(r.text[a:b], [], 5)[0] for a, b in zip(c.span_starts, c.span_ends, strict=True))
-            assert inside == hit
+        assert sum(brute_hits(r.text[a:b], [], 5)[0] for a, b in zip(c.span_starts, c.span_ends, strict=True)) == hit
+        assert all(b < a for b, a in zip(c.span_ends, c.span_starts[1:], strict=False))
+
+
+def test_decontamination_of_long_texts(spark):
+    rnd = random.Random(22)
+    item = prose(rnd, 40)
+    rows = [(1, "x" * 2_000_000 + " " + item, None, None, ""), (2, "é " * 500_000 + item, None, None, ""), (3, " " * 2_000_000, None, None, ""), (4, "w " * 700 + item, None, None, "")]
+    got = {r.doc_id: r.contamination for r in decontaminate.contamination(docs(spark, rows), spark.createDataFrame([(1, item), (2, "one two " * 30_000)], "item_id long, text string")).collect()}
+    n = len(brute_hits(item, [], 13)[1:]) and brute_hits(item, [], 13)[0]
+    assert [(got[i].n_words, got[i].n_hit, got[i].contaminated) for i in (1, 2, 3, 4)] == [(n + 1, n, True), (500_000 + n, n, False), (0, 0, False), (700 + n, n, 20 * n >= 700 + n)]
+    assert got[2].span_starts == [1_000_000]
+
+
+def test_merged_keeps_each_run_once():
+    one = {"starts": [2, 9], "ends": [5, 12], "span_starts": [20, 90], "span_ends": [50, 120], "items": ["b"]}
+    two = {"starts": [5, 30], "ends": [9, 31], "span_starts": [50, 300], "span_ends": [88, 310], "items": ["a", "b"]}
+    assert decontaminate.merged([one, two]) == {"starts": [2, 30], "ends": [12, 31], "span_starts": [20, 300], "span_ends": [120, 310], "items": ["a", "b"]}
+
+
+def test_states_of_the_automaton_are_bounded():
+    rnd = random.Random(23)
+    raw = " ".join(rnd.choice(WORDS) + str(i) for i in range(5000)).encode()
+    machine = decontaminate.Windows([("1", raw)], 13)
+    assert machine.machine.get_stats()["nodes_count"] <= 2 * 13 * 5000 + 1
 
 
 def test_decontamination_empty(spark):
