@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql import types as T
 from ..storage import cut
 
 
+#: Nodes that a task holds while it contracts edges.
+NODES = 1 << 20
+
+
 def as_bytes(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("")).cast("binary")
 
@@ -45,11 +50,44 @@ def ddl(schema: str) -> T.StructType:
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(","))])
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), b < a, with the components of the given ones: in every task the edges it has become stars on their least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, up = arrow_schema("a long, b long"), {}
+
+        def root(x: int) -> int:
+            top = x
+            while (y := up.get(top, top)) != top:
+                top = y
+            while x != top:
+                up[x], x = top, up.get(x, x)
+            return top
+
+        def stars() -> pa.RecordBatch:
+            nodes = np.fromiter(up, dtype=np.int64, count=len(up))
+            roots = np.array([root(x) for x in nodes.tolist()], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], schema=schema)
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > NODES:  # what is known so far goes out, so that a task's memory is bounded
+                yield stars()
+                up.clear()
+        if up:
+            yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component being the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each is a minimum per node (combined on the map side) and
-    a join back; edges of a hub lie in a sort-merge join that AQE may split. Every round is a table in shared
+    Tasks first contract the edges that they hold. Then large-star and small-star rounds alternate: each is a minimum per node (combined on
+    the map side) and a join back; edges of a hub lie in a sort-merge join that AQE may split. Every round is a table in shared
     storage; it ends when a round leaves the set of edges as it was. Nodes without an edge to another are not returned.
     """
 
@@ -63,7 +101,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             linked = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return linked.where(F.col("a") != F.col("b")).distinct()
 
-    now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = cut(contracted(contracted(edges.where(F.col("a") != F.col("b"))).distinct()), "edges")
     sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = sign(now)
     for _ in range(most_rounds):

@@ -4,16 +4,19 @@ A text's fingerprint has 64 bits: bit b is set if it is set in over half of the
 shingles, repeats included. Texts link if their fingerprints differ in at most `distance` bits.
 
 Search: two fingerprints within distance d agree within d // 2 on one of their 32-bit halves, so there is one
-vantage-point tree for each half, with radius d // 2. A tree is built on the driver from a bounded sample of distinct
+vantage-point tree for each half, with radius d // 2. Its top is built on the driver from a bounded sample of distinct
 fingerprints (only its shape depends on the sample; every fingerprint is placed). Each fingerprint has one home leaf and
 also visits every leaf that the triangle bound cannot exclude (distance to the vantage point within the radius of the
-border). A leaf is one shard; it splits further in memory by the same rule while it is large, then compares its homes
-with all that came. A shard returns a forest of its links (each point once, to the point that reached it first), never
+border). A leaf is one shard. While a shard is home to more than SPLIT fingerprints, it is split by a vantage point of its own, chosen and
+placed by aggregates over the shard (split()), so trees grow as deep as the corpus asks. A shard splits further in memory by
+the same rule, then compares its homes with all that came; one that many fingerprints share, being alike in this half, splits by whole
+fingerprints. A shard returns a forest of its links (each point once, to the point that reached it first), never
 all pairs of a group. Copies fall together before the search, as one fingerprint. Components come from the forests.
 
 Results: nulls and blank texts have no words; their fingerprint is zero and links like any other. component_id is the
 smallest non-null doc_id reachable (null if there is none). Ties: none, equal fingerprints are one node. An empty table
-gives no rows. Repeated rows are returned as often as they come.
+gives no rows. Repeated rows are returned as often as they come. Long texts are hashed whole, in blocks. Columns of docs other than key and text
+play no part in classes() and stay in keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +32,14 @@ from pyspark.sql import types as T
 from .common import components, cut, map_batches
 
 SAMPLE = 1 << 15
-#: Distinct fingerprints at home in a shard, about; the sample bounds the number of shards.
-SHARD = 384
+#: Distinct fingerprints at home in a shard, about; the sample bounds the number of shards that the driver makes.
+SHARD = 2048
+#: A shard with more homes than this is split again by a pass over the routed fingerprints.
+SPLIT = 1 << 15
 #: A shard with more homes than this splits again in memory.
 LOCAL = 1024
+#: Rows to drop that are sent to every task at most; beyond that they are joined by shuffle.
+FEW = 1 << 20
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
@@ -97,9 +104,8 @@ def half(full: np.ndarray, k: int) -> np.ndarray:
 
 def forest(full: np.ndarray, home: np.ndarray, distance: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that span what the links of homes with all points connect: pairs of arrays of places."""
-    if home.sum() > LOCAL:
-        own = half(full, k)
-        tree = Tree(own[home], distance // 2, max(2, int(home.sum()) // (LOCAL // 4)))
+    for own, radius in ((half(full, k), distance // 2), (full, distance)) if home.sum() > LOCAL else ():
+        tree = Tree(own[home], radius, max(2, int(home.sum()) // (LOCAL // 4)))
         if tree.leaves > 1:
             out = []
             for _, at, mine in tree.route(own, home):
@@ -157,9 +163,39 @@ def links(prints: DataFrame, column: str, distance: int = 3) -> DataFrame:
         return pa.table({"a": full[a].view(np.int64), "b": full[b].view(np.int64)})
 
     routed = map_batches(prints.select(column), "shard long, f long, home boolean", make)
+    if n > SPLIT:  # else no shard can be too large
+        routed = split(cut(routed, "routed"), distance // 2)
     return routed.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
+def split(routed: DataFrame, radius: int, most: int = 40) -> DataFrame:
+    """routed (shard, f, home) with every shard over SPLIT homes split in two, again and again: by the distance to one of its own homes, at
+    the border that few visit from both sides. A shard whose halves are all alike stays, and splits in memory. New shards are
+    named by a hash; should two names be equal, their fingerprints are searched together, which finds the same links."""
+    own = F.when(F.col("shard") % 2 == 0, F.col("f").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("f", 32))
+    far = F.bit_count(own.bitwiseXOR(F.col("v"))).alias("d")
+    for turn in range(most):
+        homes = routed.where("home").groupBy("shard").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("f", F.lit(turn))).alias("v"))
+        large = cut(homes.where(F.col("n") > SPLIT).withColumnRenamed("shard", "s"), "large")
+        if not large.limit(1).count():
+            break
+        counts = routed.where("home").join(large, F.col("shard") == F.col("s")).select("s", "v", "n", far).groupBy("s", "v", "n", "d").count()
+        border = counts.groupBy("s", "v", "n").agg(F.collect_list(F.struct("d", "count")).alias("h"))  # 33 distances at most
+        sums = lambda low, high: F.aggregate(F.filter("h", lambda x: (x.d > low) & (x.d <= high)), F.lit(0).cast("long"), lambda acc, x: acc + x["count"])
+        cost = lambda mu: F.struct((sums(mu - radius, mu + radius) / F.col("n") + F.abs(sums(F.lit(-1), mu) / F.col("n") - 0.5)).alias("cost"), mu.alias("mu"), sums(F.lit(-1), mu).alias("inside"))
+        costs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), cost), lambda x: (x.inside > 0) & (x.inside < F.col("n")))
+        border = cut(border.select("s", "v", F.array_min(costs).alias("best")).where("best IS NOT NULL").select("s", "v", F.col("best.mu").alias("mu")), "borders")
+        if not border.limit(1).count():
+            break
+        placed = routed.join(border, F.col("shard") == F.col("s"), "left").select("shard", "f", "home", "v", "mu", far)
+        name = lambda side: F.shiftleft(F.xxhash64("shard", F.lit(turn), F.lit(side)).bitwiseAND(F.lit((1 << 60) - 1)), 1) + F.col("shard") % 2
+        side = lambda k, near, mine: F.when(near, F.array(F.struct(name(k).alias("shard"), F.col("f"), (F.col("home") & mine).alias("home")))).otherwise(F.array())
+        d, mu = F.col("d"), F.col("mu")
+        both = F.concat(side(0, d - radius <= mu, d <= mu), side(1, d + radius > mu, d > mu))
+        routed = cut(placed.select(F.explode(F.when(F.col("v").isNull(), F.array(F.struct("shard", "f", "home"))).otherwise(both)).alias("x")).select("x.*"), "routed")
+    return routed
+
+
 def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3) -> DataFrame:
     """Rows (key, fingerprint as 16 hex digits, component_id) for every row of docs."""
     kind = docs.schema[key].dataType
@@ -182,13 +218,16 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", by=classes, **how) -> DataFrame:
-    """docs without near-duplicates: of each class (as told by `by`) the row with the smallest key stays (one row, if the key repeats). Rows without a key stay."""
-    found = cut(by(docs.select(key, text), text=text, key=key, **how), "classes")
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.hint("merge").join(gone, key, "left_anti")  # one plan at every size; a hot key's rows may be split
-    if found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))
-    return kept.select(*docs.columns)
+    """docs without near-duplicates: of each class (as told by `by`) one row stays, that with the smallest key; a row without a key comes after
+    all others. Rows are told apart by numbers of their own, so rows that share a key but not a class are judged each on its own, and of rows
+    that are alike in key and class one stays. Columns and their names do not matter; the columns of docs return as they are."""
+    row = next(f"__row{k}__" for k in range(len(docs.columns) + 1) if f"__row{k}__" not in docs.columns)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # numbered once, so the numbers hold
+    told = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(row).alias("row"))
+    found = by(rows.select(told.alias("k"), F.col(text).alias("t")), text="t", key="k", **how)
+    gone = cut(found.where(F.col("k.row") != F.col("component_id.row")).select(F.col("k.row").alias("__gone__")), "gone")
+    few = gone.count() <= FEW
+    return rows.join(F.broadcast(gone) if few else gone, F.col(row) == F.col("__gone__"), "left_anti").select(*docs.columns)
 
 
 def op4_vantage_point(spark, sf_dir: str) -> DataFrame:
