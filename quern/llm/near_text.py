@@ -8,12 +8,14 @@ n - ceil(t * n) + 1 of each. The order puts shingles that a bounded sample of te
 in few prefixes; the sample decides the cost only. Sets that share a shingle of their prefixes are candidates if their sizes
 and the places of that shingle allow the similarity; candidates are compared by their whole sets, computed from the texts.
 
-A large group of near copies is joined first by ROUNDS passes in which each shingle's sets are compared with one of them; then all
-candidates that are not yet in one component are compared, so no list of all pairs of a group is made.
+Large groups are joined before that: first by SimHash (simhash.links: fingerprints of the same shingles, all that differ in at most `distance` bits, by
+vantage-point trees; their pairs count if the sets are similar), then by ROUNDS passes in which each shingle's sets are compared with one of
+them. Then all candidates that are not yet in one component are compared, so no list of all pairs of a group is made, and pairs that differ in more
+bits are found as well.
 
 Results: component_id is the smallest non-null doc_id reachable (null if there is none). Ties: none, a similarity equal to
 `least` links. An empty table gives no rows. Repeated rows are returned as often as they come. Hashes have 64 bits and stand for
-their shingles and sets.
+their shingles and sets. Long texts are taken whole. Columns of docs other than key and text play no part.
 """
 
 from __future__ import annotations
@@ -28,22 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, components, cut, map_batches
+from . import simhash
+from .common import as_bytes, components, cut, ddl, map_batches
 
-ROUNDS = 2
+ROUNDS = 1
+#: Nodes that a task remembers, so as to give the prefix of a set once.
+SEEN = 1 << 18
 #: Texts in the sample that finds common shingles, about, and how many of these are kept.
 SAMPLE, COMMON = 16384, 1 << 17
 
 
 def shingles(raw: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes."""
-    import xxhash
-
-    w = raw.lower().split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    pieces = map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else iter([b" ".join(w)])
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), pieces), dtype=np.uint64, count=max(1, len(w) - size + 1)))
+    return np.unique(simhash.hashes(raw, size))
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -63,49 +62,88 @@ def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, least: Fra
     return hashes[np.lexsort((hashes, seen))[:size]]
 
 
-def pairs_of(nodes: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """Edges (a, b) between nodes (node, t) that have the components of all pairs of similarity `least` or more."""
-    spark = nodes.sparkSession
-    part = min(1.0, SAMPLE / max(1, nodes.count()))
+def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: Fraction = Fraction(4, 5), distance: int = 3, row: str | None = None) -> DataFrame:
+    """Rows (key, component_id) for every row of docs. row: a column that numbers the rows of a stored docs; without it docs are stored and numbered."""
+    chosen = [F.col(key).alias("k"), as_bytes(F.col(text)).alias("t"), (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row")]
+    texts = docs.select(*chosen) if row else cut(docs.select(*chosen), "texts")
+    sent = order_of(texts, shingle)
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *ddl("row long, node long, f long, n long, first array<long>")])
+
+    def make():
+        (common, times), seen = sent.value, set()
+
+        def step(batch):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                nodes, prints, sizes, firsts = [], [], [], []
+                for t in part.column(1).to_pylist():
+                    all_ = simhash.hashes(t, shingle)
+                    own = np.unique(all_)
+                    nodes.append(node_of(own))
+                    prints.append(simhash.bits_of(all_))
+                    sizes.append(len(own))
+                    fresh = nodes[-1] not in seen
+                    firsts.append(prefix(own, common, times, least).view(np.int64) if fresh else None)
+                    if fresh and len(seen) < SEEN:
+                        seen.add(nodes[-1])
+                prints = np.array(prints, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(prints), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=schema.names)
+
+        return step
+
+    sets = cut(map_batches(texts, schema, make), "sets")
+    one = cut(sets.groupBy("node").agg(F.min("k").alias("least"), F.min("row").alias("first"), F.min("f").alias("f")), "distinct")
+    entries = sets.where("first IS NOT NULL").select("node", "n", F.posexplode("first").alias("place", "h"))
+    edges = pairs_of(one, entries, lambda pairs: compared(pairs, one, texts, shingle, least), least, distance)
+    linked = components(edges).withColumnRenamed("node", "m").join(one, F.col("m") == F.col("node")).select("node", "component", "least")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("id"))
+    named = one.select("node", "least").join(linked.join(smallest, "component").select("node", "id", F.lit(True).alias("found")), "node", "left").select("node", F.when(F.col("found"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return sets.select("k", "node").join(cut(named, "named"), "node").select(F.col("k").alias(key), "component_id")
+
+
+def order_of(texts: DataFrame, size: int):
+    """Broadcast: shingles that occur more than once in the sample, sorted, and how often."""
 
     def every():
+        seen = set()
+
         def step(batch):
             for t in batch.column(0).to_pylist():
-                yield {"h": shingles(t, size).view(np.int64)}
+                own = shingles(t, size)
+                if (node := node_of(own)) not in seen:  # copies say nothing about how common a shingle is
+                    if len(seen) < SEEN:
+                        seen.add(node)
+                    yield {"h": own.view(np.int64)}
 
         return step
 
-    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(part * (1 << 20))).select("t")
+    part = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(part * (1 << 20))).select("t")
     often = map_batches(some, "h long", every).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     common, times = np.array([r.h for r in often], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in often], dtype=np.int64)
     order = np.argsort(common)
-    sent = spark.sparkContext.broadcast((common[order], times[order]))
+    return texts.sparkSession.sparkContext.broadcast((common[order], times[order]))
 
-    def index():
-        common, times = sent.value
 
-        def step(batch):
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                found = [shingles(t, size) for t in texts[at : at + 256]]
-                first = [prefix(h, common, times, least) for h in found]
-                many = [len(p) for p in first]
-                yield {"h": np.concatenate(first).view(np.int64), "node": np.repeat(ids[at : at + 256], many), "n": np.repeat([len(h) for h in found], many), "place": np.concatenate([np.arange(m) for m in many])}
-
-        return step
+def pairs_of(one: DataFrame, entries: DataFrame, near_ones, least: Fraction, distance: int) -> DataFrame:
+    """Edges (a, b) between nodes that have the components of all pairs of similarity `least` or more. one: (node, f) and more, a row a
+    node; entries: (node, n, place, h), the prefixes; near_ones: of pairs those that are similar."""
+    lead = cut(one.groupBy("f").agg(F.min("node").alias("node")), "prints")  # fingerprints are longs, as nodes are
+    alike = one.join(lead.select(F.col("f").alias("g"), F.col("node").alias("b")), (F.col("f") == F.col("g")) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
+    trees = simhash.links(lead.select("f"), "f", distance)
+    close = trees.join(lead.select(F.col("f").alias("a"), F.col("node").alias("x")), "a").join(lead.select(F.col("f").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = cut(near_ones(cut(alike.union(close), "pairs")), "near")
+    named = cut(components(edges).select(F.col("node").alias("of"), F.col("component").alias("c")), "joined")
 
-    entries = cut(map_batches(nodes.select("node", "t"), "h long, node long, n long, place long", index), "prefixes")
-    shared = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("s"))
+    shared = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("h").alias("s"))
     entries = cut(entries.join(shared, F.col("h") == F.col("s")).select("h", "node", "n", "place"), "shared")
-
     fits = lambda n, m: (F.lit(least.denominator) * F.least(n, m) >= F.lit(least.numerator) * F.greatest(n, m))
-    edges, named = None, None
     for k in range(ROUNDS + 1):
-        now = entries.withColumn("c", F.col("node")) if named is None else entries.join(named, F.col("node") == F.col("of"), "left").select("h", "node", "n", "place", F.coalesce("c", "node").alias("c"))
+        now = entries.join(named, F.col("node") == F.col("of"), "left").select("h", "node", "n", "place", F.coalesce("c", "node").alias("c"))
         mixed = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(k))).alias("lead")).where("low < high").select(F.col("h").alias("s"), "lead")
         if k < ROUNDS:
-            one = now.join(mixed, F.col("h") == F.col("s")).where((F.col("c") != F.col("lead.c")) & fits(F.col("n"), F.col("lead.n")))
-            pairs = one.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            led = now.join(mixed, F.col("h") == F.col("s")).where((F.col("c") != F.col("lead.c")) & fits(F.col("n"), F.col("lead.n")))
+            pairs = led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         else:
             now = cut(now.join(mixed.select("s"), F.col("h") == F.col("s")).drop("s"), "open")
             other = now.select(F.col("h").alias("g"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"))
@@ -113,18 +151,19 @@ def pairs_of(nodes: DataFrame, size: int, least: Fraction) -> DataFrame:
             room = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
             enough = F.lit(least.numerator + least.denominator) * room >= F.lit(least.numerator) * (F.col("n") + F.col("m"))
             pairs = now.join(other, (F.col("h") == F.col("g")) & (F.col("node") < F.col("b")) & (F.col("c") != F.col("d")) & fits(F.col("n"), F.col("m")) & enough).select(F.col("node").alias("a"), "b")
-        near = compared(cut(pairs.distinct(), "pairs"), nodes, size, least)
-        edges = cut(near if edges is None else edges.union(near), "near")
+        near = near_ones(cut(pairs.distinct(), "pairs"))
+        edges = cut(edges.union(near), "near")
         if k < ROUNDS:
             named = cut(components(edges).select(F.col("node").alias("of"), F.col("component").alias("c")), "joined")
     return edges
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """Of pairs (a, b) of nodes those of similarity `least` or more."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    texts = cut(nodes.join(members, F.col("node") == F.col("x")).select("node", "t"), "compared")
-    both = pairs.join(texts.select(F.col("node").alias("i"), F.col("t").alias("ta")), F.col("a") == F.col("i")).join(texts.select(F.col("node").alias("j"), F.col("t").alias("tb")), F.col("b") == F.col("j"))
+def compared(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """Of stored pairs (a, b) of nodes those of similarity `least` or more."""
+    members = cut(one.join(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), F.col("node") == F.col("x")).select("node", F.col("first").alias("r")), "members")
+    few = members.count() <= simhash.FEW
+    mine = cut(texts.select("row", "t").join(F.broadcast(members) if few else members, F.col("row") == F.col("r")).select("node", "t"), "compared")
+    both = pairs.join(mine.select(F.col("node").alias("i"), F.col("t").alias("ta")), F.col("a") == F.col("i")).join(mine.select(F.col("node").alias("j"), F.col("t").alias("tb")), F.col("b") == F.col("j"))
 
     def make():
         def step(batch):
@@ -139,24 +178,3 @@ def compared(pairs: DataFrame, nodes: DataFrame, size: int, least: Fraction) ->
         return step
 
     return map_batches(both.select("a", "b", "ta", "tb"), "a long, b long", make)
-
-
-def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """Rows (key, component_id) for every row of docs."""
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("t", T.BinaryType()), T.StructField("node", T.LongType())])
-
-    def make():
-        def step(batch):
-            nodes = [node_of(shingles(t, shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=["k", "t", "node"])
-
-        return step
-
-    rows = cut(map_batches(docs.select(F.col(key).alias("k"), as_bytes(F.col(text)).alias("t")), schema, make).withColumn("row", F.monotonically_increasing_id()), "sets")
-    one = cut(rows.groupBy("node").agg(F.min("k").alias("least"), F.min("row").alias("first"), F.count("*").alias("copies")), "distinct")
-    again = rows.select("node", "row").join(one.where("copies > 1").select(F.col("node").alias("o"), "first"), F.col("node") == F.col("o")).where("row != first").select(F.col("row").alias("r"))
-    nodes = cut(rows.select("node", "t", "row").join(again, F.col("row") == F.col("r"), "left_anti").select("node", "t"), "nodes")
-    linked = components(pairs_of(nodes, shingle, least)).withColumnRenamed("node", "m").join(one, F.col("m") == F.col("node")).select("node", "component", "least")
-    smallest = linked.groupBy("component").agg(F.min("least").alias("id"))
-    named = one.select("node", "least").join(linked.join(smallest, "component").select("node", "id", F.lit(True).alias("found")), "node", "left").select("node", F.when(F.col("found"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    return rows.select("k", "node").join(cut(named, "named"), "node").select(F.col("k").alias(key), "component_id")

@@ -42,17 +42,27 @@ LOCAL = 1024
 FEW = 1 << 20
 
 
-def fingerprint(raw: bytes, shingle: int = 3) -> int:
+def hashes(raw: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 of all shingles in their order, repeats included; of the whole sequence of words if there are fewer."""
     import xxhash
 
     w = raw.lower().split()
     if not w:
-        return 0
-    n = max(1, len(w) - shingle + 1)
+        return np.zeros(0, dtype=np.uint64)
     pieces = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else iter([b" ".join(w)])
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), pieces), dtype=np.uint64, count=n)
-    ones = sum(np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, n, 65536))
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), pieces), dtype=np.uint64, count=max(1, len(w) - shingle + 1))
+
+
+def bits_of(found: np.ndarray) -> int:
+    """The fingerprint: bits that are set in over half of the hashes."""
+    if not len(found):
+        return 0
+    ones = sum(np.unpackbits(found[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(found), 65536))
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(raw: bytes, shingle: int = 3) -> int:
+    return bits_of(hashes(raw, shingle))
 
 
 class Tree:
@@ -196,8 +206,8 @@ def split(routed: DataFrame, radius: int, most: int = 40) -> DataFrame:
     return routed
 
 
-def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """Rows (key, fingerprint as 16 hex digits, component_id) for every row of docs."""
+def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3, row: str | None = None) -> DataFrame:
+    """Rows (key, fingerprint as 16 hex digits, component_id) for every row of docs. row: as near_text.classes() takes it; not needed here."""
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("k", kind), T.StructField("f", T.LongType())])
 
@@ -224,7 +234,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", by=cla
     row = next(f"__row{k}__" for k in range(len(docs.columns) + 1) if f"__row{k}__" not in docs.columns)
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # numbered once, so the numbers hold
     told = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(row).alias("row"))
-    found = by(rows.select(told.alias("k"), F.col(text).alias("t")), text="t", key="k", **how)
+    found = by(rows.select(told.alias("k"), F.col(text).alias("t"), F.col(row).alias("r")), text="t", key="k", row="r", **how)
     gone = cut(found.where(F.col("k.row") != F.col("component_id.row")).select(F.col("k.row").alias("__gone__")), "gone")
     few = gone.count() <= FEW
     return rows.join(F.broadcast(gone) if few else gone, F.col(row) == F.col("__gone__"), "left_anti").select(*docs.columns)
