@@ -1,33 +1,41 @@
 """Mixing sources to target weights by entropy balancing.
 
-Rates: among all document rates w that meet the token targets of every group (sum of w * size = target), those nearest to
-1 in relative entropy, counted per token. Its convex dual has one multiplier a group and the optimum is the
-exponential tilt w = exp(sum of the multipliers of the document's groups). Newton steps run on cells (distinct
-combinations of groups with their tokens), each one distributed aggregate and a join. A step solves the logarithms of a
-margin's moment conditions, whose Jacobian is diagonal, so steps need no damping; several margins take turns.
+Rates: among all document rates w that meet the token target of every source (sum of w * size = target), and come near the
+corpus' own profile of document sizes (tokens by class of size, a class for each power of two), those nearest to
+1 in relative entropy, counted per token. The convex dual has one multiplier a source and one a class of size, with a ridge penalty on the
+latter, so that it has a solution whatever the targets; the optimum is the exponential tilt w = exp(source's + class's multiplier).
+
+Newton: the sources' multipliers follow from the classes' (their part of the Hessian is diagonal, and eliminated), so what is left is a dual
+of CLASSES variables, however many sources there are. A step is one pass over a table with a row a source that adds up value, gradient
+and Hessian in the tasks; the driver solves a system of CLASSES unknowns and halves the step while the dual's value does not fall enough.
+Sources whose target is their cap have the rate `most` throughout and take no part; no rate exceeds `most`.
 
 Copies: floor(w) for all, and one more for the documents of a source whose key u / (w - floor(w)) is lowest, u being a
-hash of the key and size. How far to go is found by a search over digits of that key: one histogram (4096 bins a source)
+hash of the key, the size and all columns. How far to go is found by a search over digits of that key: one histogram (4096 bins a source)
 a level, refined in the bin where the remainder runs out; so no source is sorted or gathered in one task. Where a large
 document did not fit, the search runs again over those that do; at last one document a source changes by a copy, if that
 mends what is left.
 
 Results: a null text has size 0; a null source is a source of its own, last in order. Targets: weights repeat over sources in
 code point order; a target stops at `most` times its source's size, the excess is shared anew by weight. With no words at
-all every target is 0. Ties of the key are broken by row; they concern rows with equal key and size only. Repeated rows are
-documents of their own. No document is taken more than `most` times.
+all every target is 0. Ties of the key are broken by row; they concern rows that are alike in all columns only. Repeated rows are
+documents of their own. No document is taken more than `most` times. An empty table gives no rows. Targets are found by windows over one row a
+source, in one task; millions of sources are well within it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, cut, map_batches
+from .common import arrow_schema, as_bytes, cut, map_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Classes of size: the last holds all sizes of 2 ** (CLASSES - 1) - 1 words or more. Ridge penalty on their multipliers, a share of all tokens.
+CLASSES, RIDGE = 24, 0.02
 _DIGIT, _LEVELS, _FEW = 12, 5, 200
 
 
@@ -56,26 +64,57 @@ def targets(tokens: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return at.withColumn("left", left).withColumn("level", level).select("source", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
-def rates(cells: DataFrame, margins: dict[str, DataFrame], tokens: str = "tokens", rounds: int = 80, near: float = 1e-9) -> DataFrame:
-    """cells: a row for each combination of the margins' columns, with its tokens. margins: column -> (column, target).
+def size_class(size: str):
+    return F.least(F.floor(F.log2(F.col(size) + 1)), F.lit(CLASSES - 1)).cast("int")
+
+
+def rates(groups: DataFrame, wanted: np.ndarray, ridge: float = RIDGE, rounds: int = 60, near: float = 1e-10) -> tuple[DataFrame, np.ndarray]:
+    """groups: (source, target, ks, ns), a row a source: its classes (array<int>) and their tokens (array<double>), both sums above 0. wanted: tokens by class.
 
-    Adds rate. Newton on the dual until each margin's tokens are within `near` of its target, or no step helps any more
-    (targets that contradict one another have no solution; the last rates are returned).
+    Returns groups with `rates`, a rate for each class, and the classes' multipliers mu, which minimise
+    sum of target * log(sum of ns * exp(mu)) - wanted . mu + penalty * |mu|^2 / 2, the penalty being ridge * all targets.
     """
-    now, last = cells.withColumn("tilt", F.lit(0.0)), None
-    for turn in range(rounds):
-        worst = 0.0
-        for column, wanted in margins.items():
-            sums = now.groupBy(F.col(column).alias("g")).agg(F.sum(F.col(tokens) * F.exp("tilt")).alias("got"))
-            goal = wanted.select(F.col(column).alias("h"), "target")
-            step = sums.join(goal, F.col("g").eqNullSafe(F.col("h")), "left").select("g", F.when(F.col("target").isNull() | (F.col("got") == 0), 0.0).when(F.col("target") == 0, F.lit(float("-inf"))).otherwise(F.log(F.col("target") / F.col("got"))).alias("step"))
-            now = cut(now.join(step, F.col(column).eqNullSafe(F.col("g"))).select(*cells.columns, (F.col("tilt") + F.col("step")).alias("tilt"), "step"), "dual")
-            worst = max(worst, now.agg(F.max(F.when(F.abs("step") < 1e300, F.abs("step")).otherwise(0.0))).first()[0] or 0.0)
-            now = now.drop("step")
-        if worst <= near or (len(margins) > 1 and last is not None and worst >= last and turn > 20):
+    k, groups = len(wanted), cut(groups, "groups")
+
+    def passed(mu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches):
+            value, first, second = 0.0, np.zeros(k), np.zeros((k, k))
+            for batch in batches:
+                target, ks, ns = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                of = np.repeat(np.arange(len(target)), np.asarray(ks.value_lengths()))
+                w = np.zeros((len(target), k))
+                np.add.at(w, (of, np.asarray(ks.flatten())), np.asarray(ns.flatten()) * np.exp(mu[np.asarray(ks.flatten())]))
+                all_ = w.sum(axis=1)
+                value += float(target @ np.log(all_))
+                p = w / all_[:, None]
+                first += target @ p
+                second -= p.T @ (target[:, None] * p)
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([first.tolist()]), pa.array([second.ravel().tolist()])], schema=arrow_schema("value double, first array<double>, second array<double>"))
+
+        got = groups.select("target", "ks", "ns").mapInArrow(run, "value double, first array<double>, second array<double>").collect()  # one row a task
+        first = np.sum([r.first for r in got], axis=0) if got else np.zeros(k)
+        second = np.sum([r.second for r in got], axis=0).reshape(k, k) if got else np.zeros((k, k))
+        return sum(r.value for r in got), first, second + np.diag(first)
+
+    mu, all_ = np.zeros(k), float(groups.agg(F.sum("target")).first()[0] or 0.0)
+    penalty = ridge * all_
+    whole = lambda value, mu: value - wanted @ mu + penalty * mu @ mu / 2
+    value, first, second = passed(mu)
+    for _ in range(rounds):
+        slope = first - wanted + penalty * mu
+        if not all_ or np.abs(slope).max() <= near * all_:
             break
-        last = worst
-    return now.select(*cells.columns, F.exp("tilt").alias("rate"))
+        step = -np.linalg.lstsq(second + penalty * np.eye(k), slope, rcond=1e-12)[0]
+        size = 1.0
+        while True:
+            then = passed(mu + size * step)
+            if whole(then[0], mu + size * step) <= whole(value, mu) + 1e-4 * size * slope @ step + 1e-13 * all_ or size < 1e-6:
+                break
+            size /= 2
+        mu, (value, first, second) = mu + size * step, then
+    tilt = F.array(*[F.lit(float(x)) for x in np.exp(mu)])
+    whole_ = F.aggregate(F.zip_with("ks", "ns", lambda c, n: n * F.get(tilt, c)), F.lit(0.0), lambda acc, x: acc + x)
+    return groups.withColumn("rates", F.transform(tilt, lambda e: F.col("target") * e / whole_)), mu
 
 
 def copies(rows: DataFrame, most: int = 3, near: float = 0.002) -> DataFrame:
@@ -127,30 +166,45 @@ def _filling(rows: DataFrame, rest: DataFrame, of) -> DataFrame:
     return at.where(F.col("place") < F.col("prefix")).select("row").union(last.select("row"))
 
 
-def decide(docs: DataFrame, columns: list[str], *, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """A row for each row of docs: columns (key and source among them), size, source_size, target, copies."""
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), "size", F.lit("mix")), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    rows = cut(sizes(docs, columns, text).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    tokens = cut(rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "sources")
+def decide(docs: DataFrame, columns: list[str], *, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3, ridge: float = RIDGE, tie: str | None = None) -> DataFrame:
+    """A row for each row of docs: columns (key and source among them), size, source_size, target, copies. tie: a column that tells rows of equal
+    key and size apart, by default a hash of all columns."""
+    given = docs.withColumn("__tie__", print_of(docs) if tie is None else F.col(tie))
+    kept = list(dict.fromkeys([*columns, key, source]))
+    rows = cut(sizes(given, [*kept, "__tie__"], text).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    u = (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), "size", "__tie__"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    cells = cut(rows.groupBy(F.col(source).alias("source"), size_class("size").alias("k")).agg(F.sum("size").alias("tokens")), "cells")
+    tokens = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
     wanted = cut(targets(tokens, weights, most), "targets")
-    tilted = rates(tokens.select("source", F.col("source_size").cast("double").alias("tokens")), {"source": wanted.select("source", "target")})
-    each = wanted.join(tilted.select(F.col("source").alias("of"), F.least("rate", F.lit(float(most))).alias("rate")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("source", "__of__")
+    # the corpus' profile of sizes, of which capped sources take their part as it is
+    held = (F.col("target") >= F.col("source_size") * (most * (1 - 1e-12))) | (F.col("target") <= 0)
+    parts = cells.join(wanted.withColumn("held", held).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    profile, fixed, all_ = np.zeros(CLASSES), np.zeros(CLASSES), 0.0
+    for r in parts.groupBy("k").agg(F.sum("tokens").alias("n"), F.sum(F.when(F.col("held") & (F.col("target") > 0), F.col("tokens") * float(most)).otherwise(0.0)).alias("fixed")).collect():  # a row a class
+        profile[r.k], fixed[r.k], all_ = r.n, r.fixed, all_ + r.n
+    open_ = parts.where("NOT held AND tokens > 0").groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("k", F.col("tokens").cast("double").alias("n")))).alias("x")).select("source", "target", F.col("x.k").alias("ks"), F.col("x.n").alias("ns"))  # CLASSES at most
+    tilted, _ = rates(open_, np.maximum(profile - fixed, 0.0), ridge)
+    each = wanted.join(tilted.select(F.col("source").alias("of"), "rates"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumnRenamed("source", "__of__")
     joined = rows.join(each, F.col(source).eqNullSafe(F.col("__of__"))).drop("__of__")
-    found = copies(joined.select(F.struct(*columns).alias("given"), F.col(source).alias("source"), "size", "rate", "source_size", "target", u.alias("u"), "row"), most)
+    rate = F.least(F.when(F.col("rates").isNotNull(), F.get("rates", size_class("size"))).when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0), F.lit(float(most)))
+    found = copies(joined.select(F.struct(*columns).alias("given"), F.col(source).alias("source"), "size", rate.alias("rate"), "source_size", "target", u.alias("u"), "row"), most)
     return found.select("given.*", "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """docs, each row as often as the mix takes it, with the number of the copy in `copy` (from 1)."""
-    print_ = F.xxhash64(F.coalesce(text, F.lit(""))).alias("__print__")
-    plan = decide(docs.select(key, source, text, print_), [key, source, "__print__"], text=text, key=key, source=source, **how)
-    many = cut(plan.groupBy(F.col(key).alias("__key__"), F.col("__print__").alias("__p__")).agg(F.sum("copies").alias("__copies__"), F.count("*").alias("__rows__")), "plan")
-    on = lambda d: d.join(many, F.col(key).eqNullSafe(F.col("__key__")) & (F.col("__print__") == F.col("__p__")))
-    wide = docs.withColumn("__print__", print_)
-    single = on(wide).where("__rows__ = 1 AND __copies__ > 0")
-    if many.where("__rows__ > 1").limit(1).count():  # rows with the same key and text are alike: one of them stands for all
-        single = single.union(on(wide).where("__rows__ > 1 AND __copies__ > 0").dropDuplicates([key, "__print__"]))
-    return single.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies__"))).select(*docs.columns, "copy")
+def print_of(docs: DataFrame):
+    """A hash of a row's columns, but for maps and variants, which have none."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
+def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", into: str = "copy", **how) -> DataFrame:
+    """docs, each row as often as the mix takes it, with the number of the copy in `into` (from 1; where docs has that name, in the first of
+    into_2, into_3 and so on that it has not). Rows are told apart by numbers of their own, so rows that share key and text are taken each on its own."""
+    free = lambda name: name if name not in docs.columns else next(x for i in range(2, len(docs.columns) + 3) if (x := f"{name}_{i}") not in docs.columns)
+    row, into = free("__row__"), free(into)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    narrow = rows.select(F.col(row).alias("r"), F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"), print_of(docs).alias("print"))
+    plan = decide(narrow, ["r"], text="t", key="k", source="s", tie="print", **how).where("copies > 0").select(F.col("r").alias("__r__"), F.col("copies").alias("__copies__"))
+    return rows.join(plan, F.col(row) == F.col("__r__")).withColumn(into, F.explode(F.sequence(F.lit(1).cast("long"), "__copies__"))).select(*docs.columns, into)
 
 
 def op9_entropy_balancing(spark, sf_dir: str) -> DataFrame:

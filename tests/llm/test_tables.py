@@ -175,14 +175,58 @@ def test_mixing(spark, seed):
     assert wide.columns == ["doc_id", "text", "source", "copy"] and wide.count() == sum(r.copies for r in got)
 
 
-def test_rates_on_two_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 30.0), ("b", "x", 20.0), ("b", "y", 5.0)], "p string, q string, tokens double")
-    margins = {"p": spark.createDataFrame([("a", 20.0), ("b", 40.0)], "p string, target double"), "q": spark.createDataFrame([("x", 25.0), ("y", 35.0)], "q string, target double")}
-    got = {(r.p, r.q): r.tokens * r.rate for r in mixing.rates(cells, margins).collect()}
-    assert got["a", "x"] + got["a", "y"] == pytest.approx(20) and got["a", "x"] + got["b", "x"] == pytest.approx(25, rel=1e-6)
-    # the tilt is a product of one factor for each group
-    w = {k: v / t for (k, v), t in zip(sorted(got.items()), (10.0, 30.0, 20.0, 5.0), strict=True)}
-    assert w["a", "x"] * w["b", "y"] == pytest.approx(w["a", "y"] * w["b", "x"], rel=1e-6)
+def test_rates_solve_the_dual(spark):
+    rng = np.random.default_rng(5)
+    n = rng.gamma(0.5, 1000, (9, 6)) * (rng.random((9, 6)) < 0.7) + np.eye(9, 6)
+    target = n.sum(axis=1) * rng.uniform(0.05, 2.5, 9)
+    wanted = n.sum(axis=0) * target.sum() / n.sum()
+    rows = [(f"s{i}", float(t), [k for k in range(6) if n[i, k]], [float(x) for x in n[i] if x]) for i, t in enumerate(target)]
+    groups = spark.createDataFrame(rows, "source string, target double, ks array<int>, ns array<double>").repartition(3)
+    for ridge in (0.02, 0.5):
+        table, mu = mixing.rates(groups, wanted, ridge)
+        got = np.array([r.rates for r in sorted(table.collect(), key=lambda r: r.source)])
+        # a plain Newton method on the dual of all fifteen multipliers at once
+        x, penalty = np.zeros(15), ridge * target.sum()
+        value = lambda x: (n * np.exp(x[:9, None] + x[9:])).sum() - x[:9] @ target - x[9:] @ wanted + penalty * x[9:] @ x[9:] / 2
+        for _ in range(200):
+            w = n * np.exp(x[:9, None] + x[9:])
+            slope = np.concatenate([w.sum(1) - target, w.sum(0) - wanted + penalty * x[9:]])
+            bend = np.block([[np.diag(w.sum(1)), w], [w.T, np.diag(w.sum(0)) + penalty * np.eye(6)]])
+            step, size = -np.linalg.solve(bend, slope), 1.0
+            while value(x + size * step) > value(x) + 1e-9 and size > 1e-9:
+                size /= 2
+            x = x + size * step
+        assert mu == pytest.approx(x[9:], abs=1e-6)
+        assert got == pytest.approx(np.exp(x[:9, None] + x[9:]), rel=1e-5)
+        assert (n * got).sum(axis=1) == pytest.approx(target)
+
+
+def test_mixed_takes_rows_each_on_its_own(spark):
+    rows = [(1, "x y z", "a", "m1", 7), (1, "x y z", "b", "m2", 8)] + [(i, "x y z", "a", "m", 9) for i in range(2, 12)] + [(20, "w " * 9, "b", "m", 9)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, meta string, copy long")
+    plan = {(r.doc_id, r.source): r.copies for r in mixing.decide(df, ["doc_id", "source"]).collect()}
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "copy_2"]
+    got = out.collect()
+    times = lambda m: [r.copy_2 for r in got if r.meta == m]
+    assert sorted(times("m1")) == list(range(1, 1 + len(times("m1")))) and max((r.copy_2 for r in got), default=0) <= 3
+    words = lambda s: sum(len(r.text.split()) for r in got if r.source == s)
+    want = {r.source: r.target for r in mixing.decide(df, ["source"]).collect()}
+    assert all(abs(words(s) - want[s]) <= 9 for s in want) and plan
+    again = mixing.mixed(df.repartition(5)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_rates_differ_by_size_within_a_source(spark):
+    rows = [(i, "w " * (4 if i % 2 else 400), "a" if i < 600 else "b") for i in range(800)] + [(i, "w " * 4, "c") for i in range(2000, 2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.decide(df, ["doc_id", "source"]).collect()
+    mean = lambda s, n: np.mean([r.copies for r in got if r.source == s and r["size"] == n])
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    want = shares(size, mixing.WEIGHTS)
+    for s in "abc":
+        assert abs(sum(r.copies * r["size"] for r in got if r.source == s) - want[s]) <= 0.02 * want[s]
+    assert mean("a", 4) != pytest.approx(mean("a", 400), abs=1e-9)
 
 
 def test_mixing_empty(spark):
