@@ -88,6 +88,7 @@ def test_lattice_scores(spark):
     model = lattice.Lattice(*vocabulary)
     import numpy as np
 
+    plain = model
     _, e = model.run([w.decode() for w in c], np.array(list(c.values()), dtype=float))
     e = e + 0.1
     model = lattice.Lattice(vocabulary[0], np.log(e / (e.sum() + texts)), math.log(texts / (e.sum() + texts)))
@@ -96,7 +97,9 @@ def test_lattice_scores(spark):
     for i, t, *_ in rows:
         w = tokens(t)
         logs = model.run([x.decode() for x in w])[0].sum() if w else 0.0
-        expected.append((i, len(w) + 1, sum(x in c for x in w) + 1, n, sum(base(c[x]) for x in w) + base(texts), (logs + model.end) / math.log(10)))
+        expected.append((i, len(w) + 1, sum(x in c for x in w) + 1, n, sum(base(c[x]) for x in w) + base(texts), (logs + model.end) / math.log(10), ((plain.run([x.decode() for x in w])[0].sum() if w else 0.0) - math.log(256)) / math.log(10)))
+    same = lattice.score(df, train, vocabulary=vocabulary, head=5)
+    assert same.where("score != vocabulary_score").count() == 0 and sorted(r.score for r in same.collect()) == pytest.approx(sorted(r[6] for r in expected))
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
@@ -275,20 +278,36 @@ def test_collapsed_product_is_the_kernel_regression():
 
     rnd = random.Random(9)
     texts = [prose(rnd, 20) for _ in range(30)]
-    bits = np.array([np.packbits(np.bincount(language.present(t), minlength=language.BUCKETS).astype(bool)) for t in texts])
-    labels = [("a", "b")[i % 2] for i in range(30)]
-    m = language.fit(bits, labels, landmarks=10)
-    sets = [set(language.present(t)) for t in texts]
+    seen = [language.present(language.pieces(t)[0]) for t in texts]
+    marks = language.Landmarks(np.array([np.packbits(s) for s in seen[:10]]))
+    sums, label = language.Sums(marks.white.shape[1], 2), np.arange(30) % 2
+    for at in (0, 7, 22):  # in parts, as tasks do
+        part = language.Sums(marks.white.shape[1], 2)
+        rows = list(range(at, {0: 7, 7: 22, 22: 30}[at]))
+        part.add(marks.phi([seen[i] for i in rows]), label[rows], np.ones(len(rows)))
+        sums.merge(part.all)
+    beta, bias = sums.solve(1e-3)
+    m = language.Model(["a", "b"], marks.weights(beta), bias)
+    sets = [set(np.flatnonzero(s).tolist()) for s in seen]
     k = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
-    marks = [sets[i] for i in sorted(range(30), key=lambda i: i // 2 * 2 + i % 2)[:10]]
-    kmm = np.array([[k(x, y) for y in marks] for x in marks])
+    kmm = np.array([[k(x, y) for y in sets[:10]] for x in sets[:10]])
     values, vectors = np.linalg.eigh(kmm)
-    phi = np.array([[k(x, y) for y in marks] for x in sets]) @ (vectors / np.sqrt(values))
-    y = np.array([[1.0 if c == l else -1.0 for c in ("a", "b")] for l in labels])
+    phi = np.array([[k(x, y) for y in sets[:10]] for x in sets]) @ (vectors / np.sqrt(values))
+    y = np.where(label[:, None] == np.arange(2), 1.0, -1.0)
     z = phi - phi.mean(0)
     beta = np.linalg.solve(z.T @ z + 1e-3 * 30 * np.eye(10), z.T @ (y - y.mean(0)))
     v = language.SHARPNESS * (z @ beta + y.mean(0))
-    assert m.scores([language.present(t) for t in texts]) == pytest.approx(np.exp(v) / np.exp(v).sum(1, keepdims=True), abs=1e-3)
+    assert m.scores(texts) == pytest.approx(np.exp(v) / np.exp(v).sum(1, keepdims=True), abs=1e-3)
+
+
+def test_long_texts_keep_their_language(spark):
+    rnd = random.Random(12)
+    words = {c: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in range(20_000)] for c, letters in {"x": "theandofing bcmprsuvwxyz", "y": "theandofing jklqrsuéèà"}.items()}
+    make = lambda c, n: " ".join(rnd.choice(words[c]) for _ in range(n))
+    rows = [(i, make(c, 30), c, None, "") for i, c in enumerate(["x", "y"] * 60)] + [(500, make("x", 400_000), None, None, ""), (501, make("y", 400_000), None, None, ""), (502, " " * 1_000_000 + "!", None, None, "")]
+    df = docs(spark, rows)
+    got = {r.doc_id: r for r in language.identify(df, language.train(df)).where("doc_id >= 500").collect()}
+    assert (got[500].lang_pred, got[501].lang_pred, got[502].lang_pred) == ("x", "y", "und") and min(got[500].score, got[501].score) > 0.8
 
 
 # --- WARC
