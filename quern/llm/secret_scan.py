@@ -1,18 +1,27 @@
 """Secret scan: patterns, and a battery of randomness tests over token-like strings. DataFrame functions only.
 
 Patterns (kinds assign, access, hex) are matched leftmost and without overlap, each kind on its own; spans are whole
-matches in code points, end exclusive. The battery looks at tokens of 20 or more characters with a digit (kind random):
+matches in code points, end exclusive. The battery looks at tokens of 16 or more characters (kind random). Of each it infers
+the encoding: hex, base32, base36, base62 or base64, the smallest alphabet that holds the token; digits alone are none. Three tests follow:
 
-1. Encoding: hex, base32, base36, base62 or base64, the smallest alphabet that holds the token; digits alone are none.
-2. Uniformity: chi-squared of the symbols over that alphabet (Wilson-Hilferty), runs above and below the alphabet's middle,
-   and correlation of neighbours; a token whose smallest p-value, times three, is below `alpha` is not random.
-3. Evidence against ordinary writing, where neighbours rarely differ in class (digit, upper, lower; marks between words are left out): the upper tail
-   of the class changes among n - 1 neighbours at the rate ORDINARY. Longer tokens can say more, so the p-value is divided
-   by a weight that grows with length (weights have mean 1 over the corpus), and the Benjamini-Hochberg rule at level `fdr` runs
-   over all candidates of the corpus, with p-values in bins of a tenth of a decade (rounded up, so it errs to the safe side).
+1. Uniformity: chi-squared of the symbols over that alphabet.
+2. Runs: changes between neighbours. Of halves of the alphabet for randomness; of classes (digit, upper, lower; marks are left out) for writing,
+   where a capital letter belongs to the small ones after it.
+3. Serial correlation of neighbours' places in the alphabet.
+
+Each is asked two questions. Against randomness: Wilson-Hilferty for 1, normal tails for 2 and 3; a token whose smallest p-value, times three,
+is below `alpha` is no random string. Against ordinary writing: its letters coincide with the frequency COINCIDE (1: fewer coincidences speak
+for chance), it changes class at the rate ORDINARY (2: more), and its neighbours correlate by NEAR (3: less). The three upper-tail z-values are added
+and divided by 2, which allows for a correlation of 1/6 among them (3 + 6 / 6 = 4); the normal tail of that is the token's evidence p. These rates are fixed, so a text
+is judged alike in every corpus.
+
+False-discovery control: longer tokens can say more, so p is divided by a weight that grows with length (length in steps of a quarter of an
+octave, without end; weights have mean 1 over the corpus), and the Benjamini-Hochberg rule at level `fdr` runs over all candidates of
+the corpus, with p-values in bins of a tenth of a decade (rounded up, so it errs to the safe side).
 
 Candidates within a pattern's span are not reported again. Results: a null text is empty; a text without a find has empty
-lists; an empty table gives no rows; repeated rows count one by one in the false-discovery rule. Ties of start are in the order of kinds. Nothing is cut off in long texts.
+lists; an empty table gives no rows; repeated rows count one by one in the false-discovery rule. Ties of start are in the order of kinds. Nothing is cut
+off in long texts. Other columns stay; one named like `into` is replaced.
 """
 
 from __future__ import annotations
@@ -28,28 +37,56 @@ from .common import cut
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # maximal runs, so shorter ones cannot hide a longer one
-RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex", "random")
-ORDINARY = 0.15
-#: Length from which on a longer token weighs no more.
-LONGEST = 256
-_SPAN = "array<struct<s: int, e: int, x: string>>"
+#: Ordinary writing: two letters of a text are the same, three are, neighbours in a token differ in class, correlation of neighbours' places.
+COINCIDE, THRICE, ORDINARY, NEAR = 0.066, 0.0055, 0.15, 0.35
+#: Matches that are placed in one go; a text with more is taken block by block.
+BLOCK = 256
+_SPAN = "struct<s: int, e: int, x: string>"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
+def gathered(carry: Column, count: Column, step, kind: str) -> Column:
+    """What step(carry, i) -> (carry, list of results) gives for i from 0 to count, as one list of `kind`. Blocks of BLOCK results have a list of their
+    own, so that lists that grow stay short; carry holds all that a step reads, for a column would be made anew for each i."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(acc: Column, i: Column) -> Column:
+        now, got = step(acc.carry, i)
+        return F.struct(now.alias("carry"), F.concat(acc.out, got).alias("out"))
+
+    def block(acc: Column, k: Column) -> Column:
+        done = F.aggregate(F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, acc.n) - 1), F.struct(acc.carry.alias("carry"), none.alias("out")), add)
+        return F.struct(done.carry.alias("carry"), acc.n.alias("n"), F.concat(acc.all, F.array(done.out)).alias("all"))
+
+    start = F.struct(carry.alias("carry"), count.cast("int").alias("n"), F.array().cast(f"array<array<{kind}>>").alias("all"))
+    return F.when(count == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")), start, block, lambda acc: F.flatten(acc.all)))
+
+
 def located(text: Column, pattern: str, matches: Column) -> Column:
     """Spans (s, e, x) of the matches of a pattern in a text; the text between matches comes from split()."""
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast(_SPAN)
 
-    def add(acc: Column, i: Column) -> Column:
-        s = acc.at + F.char_length(F.get(acc.gaps, i))
-        x = F.get(matches, i)
+    def step(c: Column, i: Column):
+        s = c.at + F.char_length(F.get(c.gaps, i))
+        x = F.get(c.found, i)
         e = s + F.char_length(x)
-        return F.struct(e.alias("at"), acc.gaps.alias("gaps"), F.concat(acc.out, F.array(F.struct(s.alias("s"), e.alias("e"), x.alias("x")))).alias("out"))
+        return F.struct(e.alias("at"), c.gaps.alias("gaps"), c.found.alias("found")), F.array(F.struct(s.alias("s"), e.alias("e"), x.alias("x")))
+
+    return gathered(F.struct(F.lit(0).alias("at"), F.split(text, pattern, -1).alias("gaps"), matches.alias("found")), F.size(matches), step, _SPAN)
+
+
+def outside(tokens: Column, base: Column) -> Column:
+    """Tokens (s, e, x) that lie in no span of base: one pass over both in order, with the farthest end of a span so far."""
+    kind = "struct<s: int, random: boolean, e: int, x: string>"
+    both = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b.s.alias("s"), F.lit(False).alias("random"), b.e.alias("e"), F.lit("").alias("x"))), F.transform(tokens, lambda c: F.struct(c.s.alias("s"), F.lit(True).alias("random"), c.e.alias("e"), c.x.alias("x")))).cast(f"array<{kind}>"))
 
-    start = F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), none.alias("out"))
-    return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add, lambda acc: acc.out))
+    def step(c: Column, i: Column):
+        y = F.get(c.all, i)
+        free = y.random & (y.e > c.far)
+        return F.struct(F.when(y.random, c.far).otherwise(F.greatest(c.far, y.e)).alias("far"), c.all.alias("all")), F.when(free, F.array(F.struct(y.s.alias("s"), y.e.alias("e"), y.x.alias("x")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    return gathered(F.struct(F.lit(0).alias("far"), both.alias("all")), F.size(tokens) + F.size(base), step, _SPAN)
 
 
 def tail(z: Column) -> Column:
@@ -88,7 +125,7 @@ def tested(tokens: Column, alpha: float) -> Column:
             add(F.transform(pairs(c.i, c.n), lambda p: ((p.a > half) != (p.b > half)).cast("int"))).alias("turns"),
             add(F.transform(pairs(c.i, c.n), lambda p: (p.a - mean) * (p.b - mean))).alias("near"),
             add(F.transform(c.i, lambda v: (v - mean) * (v - mean))).alias("spread"),
-            add(F.transform(pairs(c.kind, F.greatest(F.size(c.kind), F.lit(1))), lambda p: (p.a != p.b).cast("int"))).alias("changes"),
+            add(F.transform(pairs(c.kind, F.greatest(F.size(c.kind), F.lit(1))), lambda p: ((p.a != p.b) & ~((p.a == 1) & (p.b == 2))).cast("int"))).alias("changes"),
         )
 
     def judged(c: Column) -> Column:
@@ -100,9 +137,11 @@ def tested(tokens: Column, alpha: float) -> Column:
         z_runs = F.when(spread > 0, (c.turns - expect) / F.sqrt(spread)).otherwise(F.lit(9.0))
         z_near = F.when(c.spread > 0, (c.near / c.spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
         p = 3 * F.least(tail(z_chi), 2 * tail(F.abs(z_runs)), 2 * tail(F.abs(z_near)))
-        m = n - 1
-        z = (c.changes - 0.5 - m * ORDINARY) / F.sqrt(m * ORDINARY * (1 - ORDINARY))
-        return F.struct(c.s.alias("s"), c.e.alias("e"), n.alias("n"), F.when((c.k > 0) & (p >= alpha), tail(z)).otherwise(F.lit(1.0)).alias("p"))
+        m, pairs_ = n - 1, n * (n - 1)
+        few = (pairs_ * COINCIDE - (c.squares - n)) / F.sqrt(2 * pairs_ * COINCIDE * (1 - COINCIDE) + 4 * pairs_ * (n - 2) * (THRICE - COINCIDE**2))
+        changed = (c.changes - 0.5 - m * ORDINARY) / F.sqrt(m * ORDINARY * (1 - ORDINARY))
+        apart = F.when(c.spread > 0, (NEAR - c.near / c.spread) * F.sqrt(n)).otherwise(F.lit(-9.0))
+        return F.struct(c.s.alias("s"), c.e.alias("e"), n.alias("n"), F.when((c.k > 0) & (p >= alpha), tail((few + changed + apart) / 2)).otherwise(F.lit(1.0)).alias("p"))
 
     return F.transform(F.transform(F.transform(F.transform(tokens, encoded), numbered), summed), judged)
 
@@ -124,7 +163,7 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
     of_kind = lambda i: lambda c: F.struct(c.s.alias("s"), F.lit(i).alias("kind"), c.e.alias("e"))
     base = F.concat(*[F.transform(F.col(k), of_kind(i)) for i, k in enumerate(KINDS[:3])])
     held = placed.select("given", F.array_sort(base).alias("base"), "random")
-    fresh = F.filter("random", lambda c: ~F.exists("base", lambda b: (b.s <= c.s) & (b.e >= c.e)))
+    fresh = F.when(F.size("base") == 0, F.col("random")).when(F.size("random") == 0, F.col("random")).otherwise(outside(F.col("random"), F.col("base")))
     found = held.select("given", "base", tested(fresh, alpha).alias("random"))
     if text not in kept:
         found = cut(found, "secrets")
@@ -134,23 +173,27 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
     return found.select("given.*", F.transform(spans_, lambda c: F.struct(c.kind.alias("kind"), c.s.alias("start"), c.e.alias("end"))).alias(into))
 
 
+def step(n: Column) -> Column:
+    """Length in quarters of an octave."""
+    return F.floor(4 * F.log2(n)).cast("int")
+
+
 def rank(p: Column, n: Column, mean: float) -> Column:
     """Bin of a weighted p-value: tenths of a decade, the higher the smaller p is."""
-    weighted = F.least(F.lit(1.0), F.greatest(p, F.lit(1e-300)) / (F.least(n, F.lit(LONGEST)) / F.lit(mean)))
+    weighted = F.least(F.lit(1.0), F.greatest(p, F.lit(1e-300)) / (F.pow(F.lit(2.0), step(n) / 4) / F.lit(mean)))
     return F.floor(-10 * F.log10(weighted)).cast("int")
 
 
 def bound(candidates: DataFrame, fdr: float) -> tuple[int, float]:
-    """The lowest bin that the Benjamini-Hochberg rule admits (beyond all bins if none) and the mean length."""
-    n = F.least("n", F.lit(LONGEST)).cast("int")
-    rows = candidates.groupBy(n.alias("n"), F.floor(-100 * F.log10(F.greatest("p", F.lit(1e-300)))).cast("int").alias("at")).count().collect()  # by length and hundredths of a decade: bounded, and one pass
+    """The lowest bin that the Benjamini-Hochberg rule admits (beyond all bins if none) and the mean weight."""
+    rows = candidates.groupBy(step(F.col("n")).alias("n"), F.floor(-100 * F.log10(F.greatest("p", F.lit(1e-300)))).cast("int").alias("at")).count().collect()  # by steps of length and hundredths of a decade: bounded, and one pass
     total = sum(r["count"] for r in rows)
     if not total:
         return 1 << 30, 1.0
-    mean = sum(r.n * r["count"] for r in rows) / total
+    mean = sum(2 ** (r.n / 4) * r["count"] for r in rows) / total
     bins: dict[int, int] = {}
     for r in rows:
-        k = math.floor(max(0.0, r.at / 10 + 10 * math.log10(r.n / mean)))
+        k = math.floor(max(0.0, r.at / 10 + 10 * math.log10(2 ** (r.n / 4) / mean)))
         bins[k] = bins.get(k, 0) + r["count"]
     so_far, lowest = 0, 1 << 30
     for k in sorted(bins, reverse=True):
@@ -164,12 +207,14 @@ def masked(docs: DataFrame, *, text: str = "text", mask: str = "<SECRET>", **how
     """docs with every span of their text replaced by mask (overlapping spans by one)."""
     found = scan(docs, text=text, into="__secrets__", **how)
 
-    def add(acc: Column, c: Column) -> Column:
-        fresh = c.start >= acc.at
-        piece = F.when(fresh, F.concat(F.substr(F.col(text), acc.at + 1, c.start - acc.at), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc.at, c.end).alias("at"), F.concat(acc.out, piece).alias("out"))
+    def step(c: Column, i: Column):
+        x = F.get(c.spans, i)
+        piece = F.when(x.start >= c.at, F.array(F.substr(c.text, c.at + 1, x.start - c.at), F.lit(mask))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(c.at, x.end).alias("at"), c.text.alias("text"), c.spans.alias("spans")), piece
 
-    done = F.aggregate("__secrets__", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc.out, F.substr(F.col(text), acc.at + 1)))
+    shown = F.col(text).cast("string")
+    pieces = gathered(F.struct(F.lit(0).alias("at"), shown.alias("text"), F.col("__secrets__").alias("spans")), F.size("__secrets__"), step, "string")
+    done = F.concat(F.array_join(pieces, ""), F.substr(shown, F.array_max(F.transform("__secrets__", lambda x: x.end)) + 1))
     return found.withColumn(text, F.when(F.size("__secrets__") > 0, done).otherwise(F.col(text))).drop("__secrets__")
 
 
