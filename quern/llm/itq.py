@@ -2,21 +2,29 @@
 
 Equal vectors fall together first. A bounded sample of the distinct ones (SAMPLE rows, chosen by hash) fits a principal
 component projection and the rotation that brings it nearest to the corners of the cube (iterative quantisation), giving
-up to 64 balanced bits; every vector is coded. Parts of the code, of about log2(n / BUCKET) bits each, are the keys of the Hamming
-tables: TABLES substrings spread evenly over it, then random choices of bits, so many that pairs at the threshold share a key with a
-predicted frequency of RECALL, however long the keys; vectors that share a key in a table are compared by their original vectors in double
-precision. A pair counts in the first table that brings it together, so no list of pairs is made: a bucket yields, for each
-vector, how many vectors it links with and one tree over its links. A bucket over CHUNK vectors is dealt into chunks, and
-pairs of chunks are compared in different tasks.
+up to 64 balanced bits; every vector is coded.
+
+Tables: the code is cut into disjoint substrings of equal length, and vectors meet whose codes differ in at most `radius` bits of some substring.
+Within a radius of 1 or 2 that is one table for each choice of bits of a substring that are left out of the key, so
+both sides are looked up once a table and no key is probed. With m substrings all pairs within a Hamming distance of m * (radius + 1) - 1 meet
+for certain. The number of substrings and the radius are those of least cost (entries moved and pairs compared, for the number
+of vectors) among all whose recall at the threshold, predicted by a simulation of pairs at just that cosine, is RECALL or more; so recall does not depend on the
+number of vectors. If no choice reaches it, and with exact=True, all vectors meet in one table, which is exact and takes all pairs.
+
+Vectors that meet are compared by their original vectors in double precision. A pair counts in the first table that brings it
+together, so no list of pairs is made: a bucket yields, for each vector, how many vectors it links with and one tree over its links. A
+bucket over CHUNK vectors is dealt into chunks, and pairs of chunks are compared in different tasks.
 
 Vectors link only within one number of components. Vectors that are null, zero or hold a null or non-finite component link
 with nothing (n_links 0, a component of their own). Ties: none, a cosine equal to the threshold links. Repeated rows are
-copies; repeated vec_ids keep a row each. A null vec_id takes part but never names a component. An empty table gives no rows.
+copies; repeated vec_ids keep a row each. A null vec_id takes part but never names a component. An empty table gives no rows. Other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +35,8 @@ from pyspark.sql import types as T
 from .common import components, cut, map_batches
 
 SAMPLE = 8192
-#: Tables at least and at most.
-TABLES, MOST = 8, 64
-BUCKET = 128
+#: Tables at most, and pairs compared in the time that it takes to move an entry of a table.
+MOST, MOVED = 512, 500
 #: Predicted recall of pairs at the threshold, and the pairs it is predicted from.
 RECALL, PAIRS = 0.95, 8192
 CHUNK = 256
@@ -58,9 +65,17 @@ class Quantiser:
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def masks_of(bits: int, parts: int, radius: int) -> np.ndarray:
+    """Masks of the bits that are each table's key: of every substring, all but `radius` bits, for every choice of these."""
+    length, out = bits // parts, []
+    for k in range(parts):
+        whole = ((1 << length) - 1) << (k * length)
+        out += [whole & ~sum(1 << (k * length + b) for b in left) for left in combinations(range(length), radius)]
+    return np.array(out, dtype=np.uint64)
+
+
 def tables(quantiser: Quantiser, unit: np.ndarray, rows: int, threshold: float, seed: int = 13) -> np.ndarray:
-    """unit: vectors that the quantiser was not fitted on, where there are enough. Masks of the bits that are each table's key: so many tables that pairs at the threshold itself share a key with a
-    frequency of RECALL or more, by simulation. Where MOST tables do not suffice, keys are shorter and buckets larger."""
+    """The tables' masks. unit: vectors that the quantiser was not fitted on, where there are enough."""
     rng = np.random.default_rng(seed)
     a = unit[rng.integers(0, len(unit), PAIRS)]
     side = rng.normal(size=a.shape)
@@ -68,18 +83,16 @@ def tables(quantiser: Quantiser, unit: np.ndarray, rows: int, threshold: float,
     size = np.linalg.norm(side, axis=1, keepdims=True)
     b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * side / np.where(size > 0, size, 1)
     differ = quantiser.codes(a) ^ quantiser.codes(b)
-    for length in range(min(quantiser.bits, max(8, min(28, math.ceil(math.log2(max(2, rows / BUCKET)))))), 0, -1):
-        last = max(1, TABLES - 1)
-        spread = sorted({round(k * (quantiser.bits - length) / last) for k in range(TABLES)})
-        masks = [((1 << length) - 1) << shift for shift in spread]
-        met = np.zeros(PAIRS, dtype=bool)
-        for k in range(MOST):
-            if k >= len(masks):
-                masks.append(sum(1 << int(x) for x in rng.choice(quantiser.bits, length, replace=False)))
-            met |= (differ & np.uint64(masks[k])) == 0
-            if k + 1 >= len(spread) and met.mean() >= RECALL:
-                return np.array(list(dict.fromkeys(masks[: k + 1])), dtype=np.uint64)
-    return np.zeros(1, dtype=np.uint64)
+    best = (MOVED * rows + rows * rows / 2, None)
+    for parts in range(1, quantiser.bits + 1):
+        length = quantiser.bits // parts
+        least = np.min([np.bitwise_count(differ >> np.uint64(k * length) & np.uint64((1 << length) - 1)) for k in range(parts)], axis=0)
+        for radius in range(min(3, length)):
+            many = parts * math.comb(length, radius)
+            cost = many * rows * (MOVED + rows / 2 ** (length - radius) / 2)
+            if many <= MOST and cost < best[0] and (least <= radius).mean() >= RECALL:
+                best = (cost, (parts, radius))
+    return np.zeros(1, dtype=np.uint64) if best[1] is None else masks_of(quantiser.bits, *best[1])
 
 
 def unit_rows(column) -> np.ndarray:
@@ -122,15 +135,16 @@ def linked(table: int, unit: np.ndarray, codes: np.ndarray, copies: np.ndarray,
     return [(some, add[some], root[some])]
 
 
-def neighbours(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """Rows (key, n_links, component_id, kept) for every row of vectors."""
+def neighbours(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, exact: bool = False) -> DataFrame:
+    """Rows (key, n_links, component_id, kept) for every row of vectors. exact: compare all pairs, whatever the codes."""
     v = F.col("v")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False)))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"  # floats are moved as floats
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = cut(rows.where("sound").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "vectors")
     found = None
     for r in classes.groupBy("d").count().collect():  # a row for each number of components
-        part = _links(classes.where(F.col("d") == r.d), r["count"], threshold)
+        part = _links(classes.where(F.col("d") == r.d), r["count"], threshold, exact)
         found = part if found is None else found.union(part)
     if found is None:
         named = classes.select("node", "v", "copies", F.col("least").alias("component"), F.lit(0).cast("long").alias("links"))
@@ -146,15 +160,15 @@ def neighbours(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedd
     return whole.union(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, n: int, threshold: float, exact: bool) -> DataFrame:
     """Rows (node, links, root) of every bucket."""
     spark = classes.sparkSession
-    sample = np.array([r.v for r in classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()])
+    sample = np.array([np.asarray(r.v, dtype=float) for r in classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()])
     sample = sample / np.abs(sample).max(axis=1, keepdims=True)
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     held = np.arange(len(sample)) % 4 == 3 if len(sample) >= 64 else np.ones(len(sample), dtype=bool)
     quantiser = Quantiser(sample[~held] if not held.all() else sample)
-    masks = tables(quantiser, sample[held], n, threshold)  # the codes fit rows better that they were fitted on
+    masks = np.zeros(1, dtype=np.uint64) if exact else tables(quantiser, sample[held], n, threshold)  # the codes fit rows better that they were fitted on
     sent = spark.sparkContext.broadcast((quantiser, masks))
     coded_type = T.StructType([classes.schema[c] for c in ("node", "copies", "v")] + [T.StructField("code", T.LongType())])
 
@@ -167,9 +181,7 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
         return step
 
     coded = cut(map_batches(classes.select("node", "copies", "v"), coded_type, make), "codes")
-    keyed = coded.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(len(masks))])))
-    key = F.element_at(F.array(*[F.col("code").bitwiseAND(F.lit(int(m)).cast("long")) for m in masks.view(np.int64)]), F.col("t") + 1)
-    keyed = keyed.withColumn("key", key)
+    keyed = coded.select("*", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(int(m)).cast("long")) for m in masks.view(np.int64)])).alias("t", "key"))
     large = keyed.groupBy("t", "key").count().where(F.col("count") > CHUNK).select("t", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     dealt = keyed.join(large, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
