@@ -7,15 +7,17 @@ holds the word-start symbol at its front only, so the lattice of a text is that
 is run once for each distinct word. A character that no piece spells alone is spelled by the vocabulary's byte pieces.
 
 Vocabulary: pieces and scores as they exist. Scores of a unigram model are log probabilities; those of a merge list are
-ranks, read as a Zipf law. Starting from them, `rounds` steps of expectation maximisation over the word counts of all
-training texts (forward-backward, every distinct word, nothing sampled) give the probabilities; the vocabulary stays.
+ranks, read as a Zipf law. These weight all segmentations: `vocabulary_score` is a text's probability under the unchanged scores. `score` is the same
+unless `rounds` is given: then so many steps of expectation maximisation start from the existing scores, over the word counts of all
+training texts (forward-backward, every distinct word, nothing sampled), and the probabilities that result weight the segmentations; the vocabulary stays. The
+end symbol, of which the vocabulary has no score, weighs 1/256, or what is learnt.
 
 Scale: word counts are combined in the tasks, then shuffled by word. The HEAD most frequent words (a fixed number) are
 broadcast; every other word of a text is joined by shuffle, so nothing that is broadcast grows with the corpus.
 
 Results: a null text is empty (the end symbol alone). Without training texts every c, N and V is 0 and the vocabulary's own
 scores are used. A null doc_id is not held out. Ties do not arise. Repeated rows count and score one by one. Very long words take the same recursion, one
-at a time. An empty table gives no rows.
+at a time; long texts are counted whole. An empty table gives no rows. Columns of docs other than key and text play no part.
 """
 
 from __future__ import annotations
@@ -209,8 +211,8 @@ def learn(words: DataFrame, pieces: list[str], logs: np.ndarray, texts: int, rou
     return Lattice(pieces, logs, end if texts and rounds else math.log(1 / 256))
 
 
-def score(docs: DataFrame, training, *, text: str = "text", key: str = "doc_id", vocabulary: tuple[list[str], np.ndarray] | None = None, rounds: int = 4, prior: float = 0.1, head: int = HEAD) -> DataFrame:
-    """A row for each row of docs: key, n_tokens, n_known, train_tokens, base_score, score. training: a boolean column over docs."""
+def score(docs: DataFrame, training, *, text: str = "text", key: str = "doc_id", vocabulary: tuple[list[str], np.ndarray] | None = None, rounds: int = 0, prior: float = 0.1, head: int = HEAD) -> DataFrame:
+    """A row for each row of docs: key, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score. training: a boolean column over docs."""
     pieces, logs = vocabulary or load_vocabulary()
     ten = math.log(10)
     narrow = docs.select(training.alias("training"), as_bytes(F.col(text)).alias("t"), F.col(key).alias("k"))
@@ -219,53 +221,56 @@ def score(docs: DataFrame, training, *, text: str = "text", key: str = "doc_id",
     n, v = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = (n or 0) + texts, (v or 0) + (texts > 0)
     lattice = learn(counts.where("c > 0"), pieces, logs, texts, rounds, prior)
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, lattice.logs))
+    plain, learnt = Lattice([], logs, math.log(1 / 256)), lattice.logs is not logs
+    sent = docs.sparkSession.sparkContext.broadcast((pieces, logs, lattice.logs if learnt else None))
 
     def make():
-        lattice = Lattice(*sent.value)
+        pieces, logs, other = sent.value
+        models = [Lattice(pieces, logs)] + ([Lattice(pieces, other)] if learnt else [])
 
         def step(batch):
-            logs, _ = lattice.run([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs / ten)], schema=arrow_schema("word binary, c long, p double"))
+            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            q, *p = [pa.array(m.run(words)[0] / ten) for m in models]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(p or [q]), q], schema=arrow_schema("word binary, c long, p double, q double"))
 
         return step
 
-    known = cut(map_batches(counts.select("word", "c"), "word binary, c long, p double", make), "scored")
+    known = cut(map_batches(counts.select("word", "c"), "word binary, c long, p double, q double", make), "scored")
     base = lambda c: math.log10((c + 1) / (n + v + 1))
-    common = docs.sparkSession.sparkContext.broadcast({bytes(r.word): (r.c > 0, base(r.c), r.p) for r in known.orderBy(F.desc("c"), "word").limit(head).collect()})
-    last = (texts > 0, base(texts), lattice.end / ten)
+    common = docs.sparkSession.sparkContext.broadcast({bytes(r.word): (r.c > 0, base(r.c), r.p, r.q) for r in known.orderBy(F.desc("c"), "word").limit(head).collect()})
+    last = (texts > 0, base(texts), lattice.end / ten, plain.end / ten)
 
     def heads():
         top = common.value
 
         def step(batch):
-            rows: dict[str, list] = {k: [] for k in ("n", "known", "base", "p", "words", "times")}
+            rows: dict[str, list] = {k: [] for k in ("n", "known", "base", "p", "q", "words", "times")}
             for raw in batch.column(1).to_pylist():
                 words = Counter(raw.lower().split())
-                seen, b, p, rare, times = int(last[0]), last[1], last[2], [], []
+                seen, b, p, q, rare, times = int(last[0]), *last[1:], [], []
                 for w, m in words.items():
                     got = top.get(w)
                     if got is None:
                         rare.append(w)
                         times.append(m)
                     else:
-                        seen, b, p = seen + m * got[0], b + m * got[1], p + m * got[2]
-                for k, x in zip(rows, (sum(words.values()) + 1, seen, b, p, rare, times), strict=True):
+                        seen, b, p, q = seen + m * got[0], b + m * got[1], p + m * got[2], q + m * got[3]
+                for k, x in zip(rows, (sum(words.values()) + 1, seen, b, p, q, rare, times), strict=True):
                     rows[k].append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows.values(), kinds, strict=True))], names=["k", *rows])
 
         return step
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *T._parse_datatype_string("n bigint, known bigint, base double, p double, words array<binary>, times array<bigint>").fields])
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *T._parse_datatype_string("n bigint, known bigint, base double, p double, q double, words array<binary>, times array<bigint>").fields])
     rows = cut(map_batches(narrow.select("k", "t"), schema, heads).withColumn("row", F.monotonically_increasing_id()), "texts")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     per_word = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    sums = rare.join(known, "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(per_word * F.col("times")).alias("base2"), F.sum(F.col("p") * F.col("times")).alias("p2"))
+    sums = rare.join(known, "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(per_word * F.col("times")).alias("base2"), F.sum(F.col("p") * F.col("times")).alias("p2"), F.sum(F.col("q") * F.col("times")).alias("q2"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("words", "times").join(sums, "row", "left").select(F.col("k").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + zero("known2")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("base2")).alias("base_score"), (F.col("p") + zero("p2")).alias("score"))
+    return rows.drop("words", "times").join(sums, "row", "left").select(F.col("k").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + zero("known2")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("base2")).alias("base_score"), (F.col("p") + zero("p2")).alias("score"), (F.col("q") + zero("q2")).alias("vocabulary_score"))
 
 
 def held_out(key: str = "doc_id", parts: int = 7, part: int = 2):
@@ -274,4 +279,4 @@ def held_out(key: str = "doc_id", parts: int = 7, part: int = 2):
 
 def op1_subword_lattice(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, ~held_out(), rounds=4).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score")
