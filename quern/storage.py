@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ParameterError
+
 #: Folders of our own, by application.
 _OWN: dict[str, str] = {}
 #: Tables that were cut: application and path.
@@ -14,9 +16,11 @@ _CUT: list[tuple[str, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local mode)."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset in local mode. On a cluster no machine-local folder will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ParameterError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
@@ -32,12 +36,17 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all tables that this application has cut so far; DataFrames that read them are of no more use."""
-    app = spark.sparkContext.applicationId
-    mine = [p for a, p in _CUT if a == app]
-    for path in mine:
+def cuts(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this application has cut and not deleted."""
+    return [p for a, p in _CUT if a == spark.sparkContext.applicationId]
+
+
+def release(spark: SparkSession, only: list[str] | None = None, keep: DataFrame | None = None) -> int:
+    """Delete tables that this application has cut (all, or `only` these), but for those that `keep` reads; other DataFrames that read them are of no more use."""
+    read = "\n".join(keep.inputFiles()) if keep is not None else ""
+    gone = [p for p in cuts(spark) if (only is None or p in only) and p.rsplit("/", 1)[-1] not in read]
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _CUT[:] = [x for x in _CUT if x[0] != app]
-    return len(mine)
+    _CUT[:] = [x for x in _CUT if x[1] not in gone]
+    return len(gone)
