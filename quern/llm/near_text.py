@@ -3,10 +3,11 @@
 A text's set holds the XXH64 hashes (seed 42) of its runs of `shingle` words (lower case, ASCII white space); a text of
 fewer words has one run of them all, a text without words the empty set. Equal sets fall together first, as one node.
 
-Search is exact (prefix filter): in any one order of all shingles, two sets of similarity t or more share a shingle among the first
-n - ceil(t * n) + 1 of each. The order puts shingles that a bounded sample of texts shows more than once last, so that common lines are
-in few prefixes; the sample decides the cost only. Sets that share a shingle of their prefixes are candidates if their sizes
-and the places of that shingle allow the similarity; candidates are compared by their whole sets, computed from the texts.
+Search is exact (prefix filter): in any one order of all shingles, two sets of similarity t or more share LEVEL shingles among the first
+n - ceil(t * n) + LEVEL of each (LEVEL is lowered where different sets of that similarity may share fewer). The order puts shingles that a
+bounded sample of texts shows more than once last, so that common lines are in few prefixes; the sample decides the cost only. Sets that share
+LEVEL shingles of their prefixes are candidates if their sizes and the places of the first of these allow the similarity; candidates are compared
+by their whole sets, computed from the texts, and once.
 
 Large groups are joined before that: first by SimHash (simhash.links: fingerprints of the same shingles, all that differ in at most `distance` bits, by
 vantage-point trees; their pairs count if the sets are similar), then by ROUNDS passes in which each shingle's sets are compared with one of
@@ -34,6 +35,10 @@ from . import simhash
 from .common import as_bytes, components, cut, ddl, map_batches
 
 ROUNDS = 1
+#: Shingles that similar sets share at the front.
+LEVEL = 3
+#: Texts whose shingles a task keeps while it compares pairs.
+HELD = 256
 #: Nodes that a task remembers, so as to give the prefix of a set once.
 SEEN = 1 << 18
 #: Texts in the sample that finds common shingles, about, and how many of these are kept.
@@ -51,10 +56,15 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), seed=42) - (1 << 63)
 
 
+def level_of(least: Fraction) -> int:
+    """LEVEL, or what different sets of this similarity share at the least."""
+    return min(LEVEL, math.ceil(least / (1 - least))) if least < 1 else LEVEL
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, least: Fraction) -> np.ndarray:
     """The first shingles in the order (times seen in the sample, hash); common is sorted, times is aligned with it."""
     n = len(hashes)
-    size = n - math.ceil(least * n) + 1 if n else 0
+    size = min(n, n - math.ceil(least * n) + level_of(least))
     seen = np.zeros(n, dtype=np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
@@ -137,21 +147,26 @@ def pairs_of(one: DataFrame, entries: DataFrame, near_ones, least: Fraction, dis
 
     shared = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("h").alias("s"))
     entries = cut(entries.join(shared, F.col("h") == F.col("s")).select("h", "node", "n", "place"), "shared")
+    seen = edges.limit(0)
     fits = lambda n, m: (F.lit(least.denominator) * F.least(n, m) >= F.lit(least.numerator) * F.greatest(n, m))
     for k in range(ROUNDS + 1):
         now = entries.join(named, F.col("node") == F.col("of"), "left").select("h", "node", "n", "place", F.coalesce("c", "node").alias("c"))
         mixed = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(k))).alias("lead")).where("low < high").select(F.col("h").alias("s"), "lead")
         if k < ROUNDS:
             led = now.join(mixed, F.col("h") == F.col("s")).where((F.col("c") != F.col("lead.c")) & fits(F.col("n"), F.col("lead.n")))
-            pairs = led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            pairs = led.groupBy(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).count().where(F.col("count") >= level_of(least)).select("a", "b")
         else:
             now = cut(now.join(mixed.select("s"), F.col("h") == F.col("s")).drop("s"), "open")
             other = now.select(F.col("h").alias("g"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"))
+            met = now.join(other, (F.col("h") == F.col("g")) & (F.col("node") < F.col("b")) & (F.col("c") != F.col("d")) & fits(F.col("n"), F.col("m")))
+            met = met.groupBy(F.col("node").alias("a"), "b", "n", "m").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.min("spot").alias("spot"))
             # the first shingle that two sets share in the order leaves at most what follows it in both
             room = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
             enough = F.lit(least.numerator + least.denominator) * room >= F.lit(least.numerator) * (F.col("n") + F.col("m"))
-            pairs = now.join(other, (F.col("h") == F.col("g")) & (F.col("node") < F.col("b")) & (F.col("c") != F.col("d")) & fits(F.col("n"), F.col("m")) & enough).select(F.col("node").alias("a"), "b")
-        near = near_ones(cut(pairs.distinct(), "pairs"))
+            pairs = met.where((F.col("shared") >= level_of(least)) & enough).select("a", "b").join(seen, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        near = near_ones(pairs)
+        seen = seen.union(pairs)
         edges = cut(edges.union(near), "near")
         if k < ROUNDS:
             named = cut(components(edges).select(F.col("node").alias("of"), F.col("component").alias("c")), "joined")
@@ -166,11 +181,20 @@ def compared(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, leas
     both = pairs.join(mine.select(F.col("node").alias("i"), F.col("t").alias("ta")), F.col("a") == F.col("i")).join(mine.select(F.col("node").alias("j"), F.col("t").alias("tb")), F.col("b") == F.col("j"))
 
     def make():
+        held: dict[int, np.ndarray] = {}
+
+        def shown(node: int, text) -> np.ndarray:
+            if node not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[node] = shingles(text.as_py(), size)
+            return held[node]
+
         def step(batch):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), dtype=bool)
             for i in range(len(a)):
-                x, y = (shingles(batch.column(c)[i].as_py(), size) for c in (2, 3))
+                x, y = shown(a[i], batch.column(2)[i]), shown(b[i], batch.column(3)[i])
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = least.denominator * same >= least.numerator * (len(x) + len(y) - same)
             yield {"a": a[keep], "b": b[keep]}
