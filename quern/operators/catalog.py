@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import shutil
 import time
 from pathlib import Path
@@ -51,6 +52,16 @@ def catalog(listing: DataFrame, root: str, data_type: str, most: int | None = No
     return out if most is None else out.limit(most)
 
 
+def named(listing: DataFrame, part: str) -> DataFrame:
+    """Files whose name or path holds a text, in any case."""
+    return listing.where(F.contains(F.lower("name"), F.lit(part.lower())) | F.contains(F.lower("path"), F.lit(part.lower())))
+
+
+def reconciled(tasks: DataFrame, folders: DataFrame, key: str) -> DataFrame:
+    """Folders that no task names (both have the column `key`), as completed tasks to be added to the log."""
+    return folders.select(key).distinct().join(tasks.select(key), key, "left_anti").withColumn("status", F.lit("completed"))
+
+
 def storage_stats(df: DataFrame, by: str, size: str) -> DataFrame:
     """Rows (group, size, count, percentage of all bytes); the total is a second aggregate of the groups."""
     groups = df.groupBy(F.col(by).alias("grp")).agg(F.sum(size).alias("size"), F.count("*").alias("count"))
@@ -68,44 +79,58 @@ def summary(df: DataFrame, file: str, format_: str, size: str) -> DataFrame:
     return df.agg(F.count_distinct(file).alias("file_count"), F.array_sort(F.collect_set(format_)).alias("formats"), F.coalesce(F.sum(size), F.lit(0)).alias("total_size"))
 
 
-def count_by(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).count()
-
-
 def hashes(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFrame:
     """Rows (path, hash) of files, computed where the files are read."""
     make = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}[algorithm]
     return spark.read.format("binaryFile").load(path).select("path", make("content").alias("hash"))
 
 
+def _sha256(path: Path) -> str:
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def backup(paths: list[str], root: str, name: str | None = None) -> Path:
-    """Copy local files below root/name with a manifest; returns the folder."""
+    """Copy local files below root/name with a manifest; returns the folder. Files keep their places below their common folder, so equal names do not meet."""
     to = Path(root) / (name or time.strftime("backup_%Y%m%d_%H%M%S"))
+    given = [Path(p).absolute() for p in dict.fromkeys(map(str, paths))]
+    for p in given:
+        if not p.is_file():
+            raise SourceError(f"no file {p}")
+    common = Path(os.path.commonpath([p.parent for p in given])) if given else Path()
     to.mkdir(parents=True, exist_ok=False)
     rows = []
-    for p in map(Path, paths):
-        if not p.exists():
-            raise SourceError(f"no file {p}")
-        shutil.copy2(p, to / p.name)
-        rows.append({"source": str(p), "file": p.name, "size": p.stat().st_size, "sha256": hashlib.sha256(p.read_bytes()).hexdigest()})
+    for p in given:
+        copy = to / "files" / p.relative_to(common)
+        copy.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy2(p, copy)
+        rows.append({"source": str(p), "file": str(p.relative_to(common)), "size": p.stat().st_size, "sha256": _sha256(copy)})
     (to / "manifest.json").write_text(json.dumps({"backup_id": to.name, "created": time.strftime("%Y-%m-%dT%H:%M:%S"), "files": rows}, ensure_ascii=False, indent=2), encoding="utf-8")
     return to
 
 
 def restore(folder: str, target: str | None = None) -> list[Path]:
-    """Copy a backup's files back, to where they came from or below target, after their hashes are checked."""
-    out = []
-    for row in json.loads((Path(folder) / "manifest.json").read_text(encoding="utf-8"))["files"]:
-        raw = (Path(folder) / row["file"]).read_bytes()
-        if hashlib.sha256(raw).hexdigest() != row["sha256"]:
+    """Copy a backup's files back, to where they came from or below target, after all their hashes are checked."""
+    rows = json.loads((Path(folder) / "manifest.json").read_text(encoding="utf-8"))["files"]
+    for row in rows:
+        if _sha256(Path(folder) / "files" / row["file"]) != row["sha256"]:
             raise SourceError(f"{row['file']} differs from its manifest")
+    out = []
+    for row in rows:
         to = Path(target) / row["file"] if target else Path(row["source"])
         to.parent.mkdir(parents=True, exist_ok=True)
-        to.write_bytes(raw)
+        shutil.copy2(Path(folder) / "files" / row["file"], to)
         out.append(to)
     return out
 
 
+def delete_backup(folder: str) -> None:
+    """Delete a backup; a folder without a manifest is none."""
+    if not (Path(folder) / "manifest.json").is_file():
+        raise SourceError(f"no backup {folder}")
+    shutil.rmtree(folder)
+
+
 def backups(spark: SparkSession, root: str) -> DataFrame:
     """Rows (backup_id, created, files, size), newest first."""
     found = spark.read.option("multiLine", "true").schema("backup_id string, created string, files array<struct<source:string,file:string,size:long,sha256:string>>").json(f"{root}/*/manifest.json")

@@ -126,6 +126,12 @@ def clean(df: DataFrame, spec: Clean) -> DataFrame:
     return df
 
 
+def preview(spark, text: str, rule: Sensitive) -> str | None:
+    """What a rule makes of one text; null where it drops the record."""
+    got = filter_sensitive(spark.createDataFrame([(text,)], "preview string"), rule).first()
+    return got[0] if got else None
+
+
 def report(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: input_rows, output_rows, removed_rows, reduction_rate in per cent."""
     a, b = before.agg(F.count("*").alias("input_rows")), after.agg(F.count("*").alias("output_rows"))

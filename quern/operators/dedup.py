@@ -21,15 +21,21 @@ def _order(order_by: str | Column | None) -> Column:
 def exact(df: DataFrame, field: str, order_by: str | Column | None = None, keep: str = "first") -> DataFrame:
     """One row for each text of a field; rows whose field is null or '' all stay.
 
-    The kept row is found by an aggregate that combines before the shuffle, so a text that holds a third of the rows
-    is no hot spot; a join by text and order then fetches it. Ties of the order are broken by row.
+    The row to keep is an aggregate that holds the whole row and combines before the shuffle, so a text that holds a third of the rows
+    is no hot spot, rows are shuffled once, and no row is looked up again by a number that another run might give differently. Ties of the
+    order are broken by a hash of the row's plain columns.
     """
     text = F.col(f"`{field}`").cast("string")
-    rows = df.withColumn("__o__", F.struct(_order(order_by).alias("a"), F.monotonically_increasing_id().alias("b")))
     free = F.coalesce(text, F.lit("")) == ""
-    best = rows.where(~free).groupBy(F.sha2(text, 256).alias("__k__")).agg((F.min if keep == "first" else F.max)("__o__").alias("__best__"))
-    kept = rows.where(~free).withColumn("__k__", F.sha2(text, 256)).join(best, "__k__").where(F.col("__o__") == F.col("__best__"))
-    return kept.select(*df.columns).union(df.where(free))
+    rows = df.where(~free).withColumn("__o__", F.struct(_order(order_by).alias("a"), F.xxhash64(*_plain(df)).alias("b")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = rows.groupBy(F.sha2(text, 256).alias("__k__")).agg((F.min_by if keep == "first" else F.max_by)(whole, F.col("__o__")).alias("__row__"))
+    return best.select("__row__.*").union(df.where(free))
+
+
+def _plain(df: DataFrame) -> list[Column]:
+    """Columns that can be hashed."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -73,13 +79,16 @@ def pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(alike).where(similarity("tnew", "told") >= threshold).select("old", "new")
 
 
-def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Greedy choice in order, in parallel rounds: a row stays once no earlier neighbour is open or kept, and goes once one is kept."""
+def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Greedy choice in order, in parallel rounds: a row stays once no earlier neighbour is open or kept, and goes once one is kept.
+
+    Every round decides at least the first open row, so the rounds end; a chain of near texts takes one for every second of its texts.
+    """
     open_, kept = cut(nodes.select("ord"), "open"), None
     edges = cut(edges, "near")
     if not edges.limit(1).count():
         return open_
-    for _ in range(most_rounds):
+    while True:
         free = cut(open_.join(edges.select(F.col("new").alias("ord")).distinct(), "ord", "left_anti"), "free")
         kept = free if kept is None else kept.union(free)
         lost = edges.join(free.select(F.col("ord").alias("old")), "old", "left_semi").select(F.col("new").alias("ord")).distinct()
@@ -89,7 +98,6 @@ def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> Dat
         edges = cut(edges.join(gone, F.col("old") == F.col("x"), "left_anti").join(gone, F.col("new") == F.col("x"), "left_anti").join(free.select(F.col("ord").alias("x")), F.col("old") == F.col("x"), "left_anti"), "near")
         if not open_.limit(1).count():
             return kept
-    raise RuntimeError("the order of near texts did not settle")
 
 
 def fuzzy(df: DataFrame, field: str, order_by: str | Column | None = None, threshold: float = 0.95) -> DataFrame:

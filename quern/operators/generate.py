@@ -35,6 +35,17 @@ TEMPLATES = {
 }
 
 
+DESCRIPTIONS = {
+    "expand": "new samples in the manner of a row", "enhance": "a row with more in it", "paraphrase": "the text of a row in other words",
+    "classify_label": "a label for a row", "q_to_a": "an answer to a row's question", "custom": "what own prompts ask for",
+}
+
+
+def strategies() -> list[dict]:
+    """Name, description and number of results of every strategy."""
+    return [{"strategy": s, "description": DESCRIPTIONS[s], "count": Generate(s).count} for s in STRATEGIES]
+
+
 @dataclass(frozen=True)
 class Generate:
     strategy: str
@@ -230,17 +241,19 @@ def generate_row(row: dict, asked: str, spec: Generate, backend: Backend, sleep:
 def generate(df: DataFrame, spec: Generate, backend: Backend) -> DataFrame:
     """Rows (prompt, record as JSON, number within the input): every record that the model's responses give.
 
-    Calls run in the tasks, so their number at a time is that of the cores; spec.rps is the rate of the whole job and is shared out over the partitions.
+    Calls run in the tasks, so their number at a time is that of the cores; spec.rps is the rate of the whole job and is shared out over the cores:
+    a task starts a call when its turn has come, and time that calls take themselves counts.
     """
-    parts = max(1, df.rdd.getNumPartitions()) if spec.rps else 1
-    pause = parts / spec.rps if spec.rps else 0.0
+    pause = max(1, df.sparkSession.sparkContext.defaultParallelism) / spec.rps if spec.rps else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = time.monotonic()
         for batch in batches:
             out = []
             for asked, raw in zip(batch["prompt"], batch["row"], strict=True):
                 if pause:
-                    time.sleep(pause)
+                    time.sleep(max(0.0, turn - time.monotonic()))
+                    turn = max(turn, time.monotonic()) + pause
                 out += [(asked, json.dumps(r, ensure_ascii=False), i) for i, r in enumerate(generate_row(json.loads(raw), asked, spec, backend))]
             yield pd.DataFrame(out, columns=["prompt", "record", "number"])
 

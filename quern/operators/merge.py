@@ -41,7 +41,7 @@ def append(base: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def numbered(dfs: list[DataFrame], order_by: str | None = None) -> DataFrame:
-    """The union with __place__: number of the input, then order within it."""
+    """The union with __place__: number of the input, then order within it. Read it once: rows without an order column are numbered as they come."""
     _checked(dfs, False)
     order = F.col(order_by) if order_by else F.monotonically_increasing_id()
     return reduce(lambda a, b: a.unionByName(b), [df.withColumn("__place__", F.struct(F.lit(i).alias("input"), order.alias("at"), F.monotonically_increasing_id().alias("row"))) for i, df in enumerate(dfs)])
@@ -50,16 +50,16 @@ def numbered(dfs: list[DataFrame], order_by: str | None = None) -> DataFrame:
 def dedup_key(dfs: list[DataFrame], field: str, keep: str = "first", order_by: str | None = None) -> DataFrame:
     """The first (or last) row of each key over all inputs; null keys are one key.
 
-    The place of the row to keep comes from an aggregate (combined before the shuffle); a join then fetches the row.
+    An aggregate holds the whole row and its place, and combines before the shuffle; no row is looked up again by its number.
     """
     if keep not in ("first", "last"):
         raise ParameterError(f"keep: {keep}")
     rows = numbered(dfs, order_by)
     if field not in rows.columns:
         raise ParameterError(f"no field {field}")
-    best = rows.groupBy(F.col(f"`{field}`").alias("__key__")).agg((F.min if keep == "first" else F.max)("__place__").alias("__best__"))
-    hit = F.col(f"`{field}`").eqNullSafe(F.col("__key__")) & (F.col("__place__") == F.col("__best__"))
-    return rows.join(best, hit).select(*dfs[0].columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in dfs[0].columns])
+    best = rows.groupBy(F.col(f"`{field}`").alias("__key__")).agg((F.min_by if keep == "first" else F.max_by)(whole, F.col("__place__")).alias("__row__"))
+    return best.select("__row__.*")
 
 
 def dedup_rows(dfs: list[DataFrame]) -> DataFrame:
@@ -75,6 +75,13 @@ def counters(inputs: list[DataFrame], output: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(n_in, F.lit(0)).alias("input_rows"), n_out.alias("output_rows"), (F.coalesce(n_in, F.lit(0)) - n_out).alias("duplicate_rows"), F.when(n_in > 0, F.round(100.0 * n_out / n_in, 2)).otherwise(0.0).alias("retention"))
 
 
+def info_text(names: list[str], input_rows: int, output_rows: int, fields: list[str], dedup: str = "none") -> str:
+    """What a merge did, for people."""
+    kept = round(100.0 * output_rows / input_rows, 2) if input_rows else 0.0
+    lines = [f"inputs: {len(names)} ({', '.join(names)})", f"dedup: {dedup}", f"rows read: {input_rows}", f"rows written: {output_rows}", f"duplicates removed: {input_rows - output_rows}", f"kept: {kept} %", f"fields: {', '.join(fields)}"]
+    return "\n".join(lines) + "\n"
+
+
 def target_name(names: list[str]) -> str:
     return "merged_" + "_".join(names) if len(names) <= 3 else f"{names[0]}_and_{len(names) - 1}_others"
 

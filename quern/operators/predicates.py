@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
-from ..functions.text import strip
+from ..functions.text import is_blank, strip
 
 _COMPARE = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 _LENGTH = {"len_gt": lambda a, b: a > b, "len_lt": lambda a, b: a < b, "len_eq": lambda a, b: a == b}
@@ -81,7 +81,7 @@ def blank(df: DataFrame, name: str) -> Column:
     """Null, NaN, or a string of white space; other types are blank when null only."""
     c, kind = F.col(f"`{name}`"), dict(df.dtypes)[name]
     if kind == "string":
-        return c.isNull() | (strip(c) == "")
+        return is_blank(c)
     return c.isNull() | F.isnan(c) if kind in ("double", "float") else c.isNull()
 
 
@@ -95,7 +95,7 @@ def remove_empty(df: DataFrame, fields: list[str] | None = None, mode: str = "an
 
 def skip_empty_rows(df: DataFrame) -> DataFrame:
     """Without rows whose every value is a blank string; a null is a value here."""
-    return df.where(~reduce(lambda a, b: a & b, [F.coalesce(strip(F.col(f"`{c}`").cast("string")) == "", F.lit(False)) for c in df.columns]))
+    return df.where(~reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() & is_blank(F.col(f"`{c}`").cast("string")) for c in df.columns]))
 
 
 def matches(df: DataFrame, keyword: str, fields: list[str] | None = None) -> Column:

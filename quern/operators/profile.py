@@ -55,19 +55,24 @@ def profile_fields(df: DataFrame, order_by: str | None = None, sample: int | Non
     return stats.select("i", "name", inferred(values).alias("type"), values.alias("sample_values"), "null_ratio").orderBy("i").drop("i")
 
 
-def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
+def profile_columns(df: DataFrame, exact: bool = True, order_by: str | None = None, samples: int = 5) -> DataFrame:
     """Rows (name, total_count, null_count, null_rate, unique_count, avg_length, max_length); one pass over df.
 
-    Blank strings are nulls. exact=False counts distinct values by a sketch, which needs no shuffle of the values.
+    Blank strings are nulls. Distinct values are counted by their hashes of 64 bits, so no long value is shuffled; exact=False counts them by a sketch,
+    which shuffles none. order_by adds sample_values: those of the first rows in that order, `samples` at most.
     """
     parts = []
     for c in df.columns:
         v = F.col(f"`{c}`").cast("string")
         full = F.when(~is_blank(v), v)
         n = F.count(full)
-        unique = F.count_distinct(full) if exact else F.approx_count_distinct(full)
+        unique = F.count_distinct(F.when(full.isNotNull(), F.xxhash64(full))) if exact else F.approx_count_distinct(full)
         parts.append(F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("total_count"), (F.count(F.lit(1)) - n).alias("null_count"), F.when(F.count(F.lit(1)) > 0, 1 - n / F.count(F.lit(1))).otherwise(1.0).alias("null_rate"), unique.alias("unique_count"), F.coalesce(F.avg(F.char_length(full)), F.lit(0.0)).alias("avg_length"), F.coalesce(F.max(F.char_length(full)), F.lit(0)).alias("max_length")))
-    return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    out = df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    if order_by is None:
+        return out
+    first = profile_fields(df, order_by, None, samples).select("name", "sample_values")
+    return out.join(first, "name")
 
 
 def hidden_columns(df: DataFrame) -> list[str]:

@@ -15,10 +15,10 @@ _STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
 
 
 def select_fields(df: DataFrame, fields: list[str], rename: dict[str, str] | None = None) -> DataFrame:
-    """The listed fields that df has, renamed."""
+    """The listed fields that df has, renamed. If it has none of them every row goes, and the fields are empty columns."""
     kept = [f for f in fields if f in df.columns]
     if not kept:
-        raise ParameterError(f"none of {fields} is a column")
+        return df.limit(0).select(*[F.lit(None).cast("string").alias((rename or {}).get(f, f)) for f in fields])
     return df.select(*[F.col(f"`{f}`").alias((rename or {}).get(f, f)) for f in kept])
 
 
@@ -95,11 +95,18 @@ def paths_of(df: DataFrame, sample: int = 100) -> DataFrame:
             yield from walk(kind.elementType, f"{name}[0]")
 
     spark = df.sparkSession
-    kind = spark.read.json(df.limit(sample).select("value").rdd.map(lambda r: r[0])).schema if df.limit(1).count() else T.StructType()
+    kind = json_schema(df.limit(sample).select("value")) if df.limit(1).count() else T.StructType()
     rows = sorted((n, t, "." in n) for n, t in walk(kind, ""))
     return spark.createDataFrame(rows, "name string, type string, nested boolean")
 
 
+def json_schema(texts: DataFrame) -> T.StructType:
+    """The schema of the JSON texts of a one-column DataFrame, inferred in the JVM."""
+    spark = texts.sparkSession
+    made = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark.read._jreader.json(made), spark).schema
+
+
 def adapt_types(df: DataFrame, text_fields: list[str] = (), date_fields: list[str] = ()) -> DataFrame:
     """text_fields as strings with '' for null; date_fields as yyyy-MM-dd."""
     new = {f: F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in text_fields if f in df.columns}
@@ -127,6 +134,12 @@ def truncated(df: DataFrame, limit: int = 200, fields: list[str] | None = None)
     return df.select(*out)
 
 
+def field_preview(df: DataFrame, source: str, paths: list[str], limit: int = 200) -> DataFrame:
+    """Paths of a JSON text (or VARIANT) column as texts cut to `limit` characters; a missing value is '', a list or object its JSON text."""
+    v = F.col(source) if df.schema[source].dataType.typeName() == "variant" else F.try_parse_json(source)
+    return df.withColumn("__v__", v).select(*[X.truncate(F.coalesce(nested(F.col("__v__"), p), F.lit("")), limit).alias(p) for p in paths])
+
+
 #: The columns that a viewer looks for first, in this order.
 COMMON_FIELDS = (
     "instruction", "input", "output", "response", "answer", "question",

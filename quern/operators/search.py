@@ -47,7 +47,3 @@ def preview_files(df: DataFrame, file: str, order_by: str, max_rows: int = 100,
     each = quota(len(files), max_rows)
     parts = [df.where(F.col(file).eqNullSafe(f)).orderBy(order_by).limit(each) for f in files]
     return reduce(DataFrame.union, parts).orderBy(file, order_by).limit(max_rows) if parts else df.limit(0)
-
-
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed))

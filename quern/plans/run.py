@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,6 +14,7 @@ from ..operators import merge as M
 from ..operators import predicates as P
 from ..operators import profile, project, search
 from ..sources import read, write
+from ..streaming import resume
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,50 @@ def _written(df: DataFrame, target: str, format_: str) -> dict:
     """Rows are counted as they are written, in the same pass."""
     seen = Observation()
     write(df.observe(seen, F.count(F.lit(1)).alias("rows")), target, format_)
-    return {"rows": seen.get["rows"], "fields": df.columns, "target": target}
+    return {"rows": seen.get["rows"], "fields": df.columns, "target": target, "format": format_}
+
+
+def sidecar(spark: SparkSession, target: str, told: dict) -> str:
+    """Write the figures of a run beside its output, as <target>.meta.json, in whatever store that is; returns the path."""
+    at = f"{target.rstrip('/')}.meta.json"
+    text = json.dumps(told | {"created": time.strftime("%Y-%m-%dT%H:%M:%S")}, ensure_ascii=False, indent=2, default=str)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return at
+
+
+def told(spark: SparkSession, target: str) -> dict:
+    """What sidecar() wrote for a target."""
+    return json.loads(spark.read.text(f"{target.rstrip('/')}.meta.json", wholetext=True).first()[0])
+
+
+def row_count(df: DataFrame, limit: int | None = None) -> int:
+    """Rows, or -1 where there are more than `limit`; no more than that are read."""
+    if limit is None:
+        return df.count()
+    n = df.limit(limit + 1).count()
+    return n if n <= limit else -1
+
+
+def merge_named(spark: SparkSession, sources: list[str], folder: str, target_format: str, dedup_field: str | None = None) -> dict:
+    """merge() into a folder named after its inputs, with a sidecar that holds figures and a text about them."""
+    names = [s.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0] for s in sources]
+    target = f"{folder.rstrip('/')}/{M.target_name(names)}"
+    got = merge(spark, sources, target, target_format, dedup_field)
+    got |= {"info": M.info_text(names, got["input_rows"], got["rows"], got["fields"], dedup_field or "none")}
+    return got | {"meta": sidecar(spark, target, got)}
+
+
+def extract_resumable(spark: SparkSession, spec: Extract, schema, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
+    """extract() over a folder of Parquet files in micro-batches; a run that was stopped goes on at the first batch that it has not committed."""
+    stream = resume.files(spark, spec.source, schema, files_per_batch)
+    step = lambda df: P.where(project.select_fields(df, list(spec.fields), spec.rename), spec.conditions, spec.logic)
+    resume.once(stream, step, spec.target, checkpoint)
+    return resume.result(spark, spec.target).drop("batch")
 
 
 @dataclass(frozen=True)

@@ -228,7 +228,15 @@ for _name, _body in (("ip", _IP), ("bank_card", r"\d{13,19}"), ("phone", r"1[3-9
         return clean.desensitize(df.select("doc_id", "text"), [name])
 
 
-@query("pii_id_card", "documents")
+_ID = r"\d{6}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[0-9Xx]"
+
+
+def _ids(t: str) -> str:
+    one = lambda x: f"regexp_replace({x}, '(^|[^0-9A-Za-z]){_ID}($|[^0-9A-Za-z])', '\\1<id_card>\\2', 'g')"
+    return one(one(t))
+
+
+@query("pii_id_card", "documents", sql=f"SELECT doc_id, {_twice(_ids('text'), r'\d{13,19}', '<bank_card>')} AS text FROM documents")
 def pii_id_card(df):
     return clean.desensitize(df.select("doc_id", "text"), ["id_card", "bank_card"])
 
@@ -243,9 +251,12 @@ def normalize_lower(df):
     return clean.normalize(df.select("doc_id", "text"), ["lowercase"])
 
 
-@query("normalize_fullwidth", "part", sql="SELECT p_partkey, 'ABC! x ' || p_name AS name FROM part")
+_ASCII, _FULL = "".join(map(chr, range(0x21, 0x7F))), "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+
+
+@query("normalize_fullwidth", "part", sql="SELECT p_partkey, '! ' || p_name AS name FROM part")
 def normalize_fullwidth(df):
-    return clean.normalize(df.select("p_partkey", F.concat(F.lit("ＡＢＣ！　x "), "p_name").alias("name")), ["fullwidth"])
+    return clean.normalize(df.select("p_partkey", F.concat(F.lit("！　"), F.translate("p_name", _ASCII, _FULL)).alias("name")), ["fullwidth"])
 
 
 @query("normalize_nfc", "documents", sql=f"SELECT doc_id, nfc_normalize({_norm('text')}) AS text FROM documents")
@@ -284,6 +295,11 @@ def dedup_fuzzy_short(df):
     return dedup.fuzzy(df.select("item_id", "text"), "text", "item_id", 0.9)
 
 
+@query("dedup_exact_last", "documents", sql="SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS n FROM documents) WHERE n = 1")
+def dedup_exact_last(df):
+    return dedup.exact(df.select("doc_id", "text"), "text", "doc_id", "last")
+
+
 @query("dedup_fuzzy_names", "part")
 def dedup_fuzzy_names(df):
     return dedup.split_fuzzy(df.select("p_partkey", "p_name"), "p_name", "p_partkey", 0.95)
@@ -349,7 +365,12 @@ def profile_fields(df):
     return profile.profile_fields(df.select("event_id", "event_type", "props"), "event_id")
 
 
-@query("hidden_columns", "documents", sql="SELECT unnest(['n_chars_order', 'source']) AS hidden")
+@query("hidden_columns", "documents", sql="""
+WITH s AS (SELECT 'doc_id' AS c, count(*) AS n, count(doc_id) AS f, count(DISTINCT doc_id) AS u, avg(length(CAST(doc_id AS VARCHAR))) AS l FROM documents
+UNION ALL SELECT 'text', count(*), count(nullif(trim(text), '')), count(DISTINCT text), avg(length(text)) FROM documents
+UNION ALL SELECT 'source', count(*), count(source), count(DISTINCT source), avg(length(source)) FROM documents
+UNION ALL SELECT 'n_chars_order', count(*), count(n_chars), count(DISTINCT n_chars), avg(length(CAST(n_chars AS VARCHAR))) FROM documents)
+SELECT c AS hidden FROM s WHERE NOT regexp_matches(c, 'id|text|name|type|content|key') AND (f <= 0.05 * n OR (u = 1 AND n > 5) OR regexp_matches(c, 'source|order|index|meta') OR (l < 5 AND u < 3) OR length(c) <= 2)""")
 def hidden_columns(df):
     seen = df.withColumn("n_chars_order", F.col("n_chars"))
     return df.sparkSession.createDataFrame([(c,) for c in profile.hidden_columns(seen.select("doc_id", "text", "source", "n_chars_order"))], "hidden string")
@@ -360,14 +381,29 @@ def distinct_keys(df):
     return profile.distinct_keys(F.col("props"), df)
 
 
-@query("search_keyword", "documents", "conversations", sql="""
-SELECT * FROM (SELECT 'documents' AS dataset, doc_id AS line_number FROM documents WHERE contains(lower(text), 'token') OR contains(lower(source), 'token') ORDER BY doc_id LIMIT 50)
-UNION ALL SELECT * FROM (SELECT 'conversations' AS dataset, conv_id AS line_number FROM conversations WHERE contains(lower(text), 'the') AND turn = 0 ORDER BY conv_id LIMIT 50) WHERE FALSE""")
-def search_keyword(docs, convs):
-    found = search.search({"documents": docs.select("doc_id", "text", "source"), "conversations": convs.where("turn = 0").select("conv_id", "role")}, "Token", order_by={"documents": "doc_id", "conversations": "conv_id"})
+_FOUND = "SELECT * FROM (SELECT '{0}' AS dataset, {1} AS line_number FROM {2} WHERE {3} ORDER BY 2 LIMIT 50)"
+
+
+@query("search_keyword", "documents", "conversations", "part", sql=" UNION ALL ".join((
+    _FOUND.format("documents", "doc_id", "documents", "contains(lower(text), 'ing') OR contains(lower(source), 'ing')"),
+    _FOUND.format("conversations", "conv_id * 1000 + turn", "conversations", "contains(lower(text), 'ing')"),
+    _FOUND.format("part", "p_partkey", "part", "contains(lower(p_name), 'ing') OR contains(lower(p_type), 'ing')"))))
+def search_keyword(docs, convs, parts):
+    turns = convs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("place"), "text")
+    found = search.search({"documents": docs.select("doc_id", "text", "source"), "conversations": turns, "part": parts.select("p_partkey", "p_name", "p_type")}, "ING", ["text", "source", "p_name", "p_type"], order_by={"documents": "doc_id", "conversations": "place", "part": "p_partkey"})
     return found.select("dataset", "line_number")
 
 
+@query("search_stop", "documents", sql="""
+WITH d AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)), h AS (
+SELECT d.i, d.source AS dataset, doc_id AS line_number, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) AS n FROM documents JOIN d ON d.source = documents.source WHERE contains(lower(text), 'e')),
+k AS (SELECT * FROM h WHERE n <= 50), c AS (SELECT i, count(*) AS n FROM k GROUP BY i), b AS (SELECT i, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT dataset, line_number FROM k JOIN b ON k.i = b.i WHERE before < 120""")
+def search_stop(docs):
+    names = [r[0] for r in docs.select("source").distinct().orderBy("source").collect()]  # the datasets' names
+    return search.search({n: docs.where(F.col("source") == n).select("doc_id", "text") for n in names}, "e", ["text"], order_by=dict.fromkeys(names, "doc_id"), stop=120).select("dataset", "line_number")
+
+
 @query("storage_stats", "documents", sql="SELECT lang AS grp, CAST(sum(n_chars) AS BIGINT) AS size, count(*) AS count, round(100.0 * sum(n_chars) / (SELECT sum(n_chars) FROM documents), 2) AS percentage FROM documents GROUP BY lang")
 def storage_stats(df):
     return catalog.storage_stats(df, "lang", "n_chars")
@@ -419,7 +455,18 @@ def prompt_build_paraphrase(df):
     return some.select("conv_id", "turn", generate.prompt(some, generate.Generate("paraphrase", selected_fields=("text",))).alias("prompt"))
 
 
-@query("prompt_build_classify", "conversations")
+_DATA = "'{' || chr(10) || '  \"role\" : ' || to_json(role) || ',' || chr(10) || '  \"text\" : ' || to_json(text) || chr(10) || '}'"
+
+
+def _filled(template: str, **values: str) -> str:
+    """A prompt template as a SQL expression."""
+    out = "'" + template.replace("'", "''") + "'"
+    for k, v in values.items():
+        out = out.replace("{" + k + "}", f"' || {v} || '")
+    return out
+
+
+@query("prompt_build_classify", "conversations", sql=f"SELECT conv_id, turn, {_filled(generate.TEMPLATES['classify_label'], sys_prefix=chr(39) * 2, data=_DATA, label_hint=chr(39) + '（可选标签集合：ask, tell）' + chr(39))} AS prompt FROM conversations")
 def prompt_build_classify(df):
     spec = generate.Generate("classify_label", selected_fields=("role", "text"), label_set=("ask", "tell"))
     return df.select("conv_id", "turn", generate.prompt(df, spec).alias("prompt"))

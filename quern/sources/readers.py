@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
+from ..operators.project import json_schema
 from . import detect, tables
 
 
@@ -25,9 +26,7 @@ def jsonl(spark: SparkSession, path: str, *, mode: str = "lenient", schema: str
         lines = lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("//"))
     else:
         lines = lines.where(F.try_parse_json("value").isNotNull() & F.col("value").startswith("{"))
-    kind = schema
-    if kind is None:
-        kind = spark.read.json(lines.rdd.map(lambda r: r[0])).schema
+    kind = schema if schema is not None else json_schema(lines)
     made = F.from_json("value", kind, {"mode": "FAILFAST" if mode == "strict" else "PERMISSIVE"})
     return lines.select(made.alias("r")).select("r.*")
 
@@ -59,7 +58,27 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
 def json(spark: SparkSession, path: str) -> DataFrame:
     """json_records() with columns."""
     texts = json_records(spark, path).select(F.to_json("v").alias("value"))
-    return texts.select(F.from_json("value", spark.read.json(texts.rdd.map(lambda r: r[0])).schema).alias("r")).select("r.*")
+    return texts.select(F.from_json("value", json_schema(texts)).alias("r")).select("r.*")
+
+
+def json_to_lines(spark: SparkSession, path: str, target: str) -> None:
+    """The records of a JSON document as JSON lines."""
+    json_records(spark, path).select(F.to_json("v").alias("value")).write.text(target)
+
+
+def rows(spark: SparkSession, records: dict | list[dict]) -> DataFrame:
+    """Records at hand as a DataFrame; keys that a record lacks are null."""
+    import json as j
+
+    texts = spark.createDataFrame([(j.dumps(r, ensure_ascii=False),) for r in ([records] if isinstance(records, dict) else records)], "value string")
+    return texts.select(F.from_json("value", json_schema(texts)).alias("r")).select("r.*")
+
+
+def jsonl_preview(spark: SparkSession, path: str, limit: int = 100, schema: str | None = None) -> DataFrame:
+    """The first records in the order of the lines; lines that hold a NUL are passed over, bytes that are no UTF-8 replaced."""
+    lines = spark.read.text(path).where(~F.contains("value", F.lit("\x00"))).select(F.trim("value").alias("value"))
+    lines = lines.where(F.try_parse_json("value").isNotNull() & F.col("value").startswith("{")).limit(limit)
+    return lines.select(F.from_json("value", schema if schema is not None else json_schema(lines)).alias("r")).select("r.*")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,8 +87,11 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("line_number", F.row_number().over(Window.partitionBy("file").orderBy("id"))).select("line_number", "content")
 
 
-def xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """Children of the root with this tag as rows; attributes and child elements are fields alike, repeated tags lists."""
+def xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """Children of the root with this tag (that of the first child by default) as rows; attributes and child elements are fields alike, repeated tags lists."""
+    if row_tag is None:
+        first = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.regexp_replace("value", r"(?s)<[?!].*?>", ""), r"^[^<]*<[^>]*>[^<]*<([\w:.-]+)", 1)).first()
+        row_tag = first[0] if first and first[0] else "row"
     return spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "").option("valueTag", "text").load(path)
 
 

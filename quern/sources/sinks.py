@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +20,35 @@ def _cell(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def _framed(lines: DataFrame, first: list[str], rest: str, last: list[str]) -> DataFrame:
+    """Text lines (value) of every part: the lines `first`, then its own, each but the first with `rest` in front, then `last`. A part is streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+        begun = False
+        if first:
+            yield made(first)
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield made([rest * (begun or i > 0) + v for i, v in enumerate(values)])
+            begun = begun or bool(values)
+        if last:
+            yield made(last)
+
+    return lines.mapInArrow(run, "value string")
+
+
 def markdown_lines(df: DataFrame, header: bool = True) -> DataFrame:
-    """Table lines (value); the header comes first in every part."""
+    """Table lines (value); the header comes first in every part, so that each part is a table."""
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(c) for c in df.columns]), F.lit(" |"))
     body = df.select(row.alias("value"))
-    if not header:
-        return body
-    top = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    head = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(top)], "n int, value string").coalesce(1).orderBy("n").select("value")
-    return head.union(body)
+    return _framed(body, ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"], "", []) if header else body
 
 
 def json_array(df: DataFrame) -> DataFrame:
-    """Lines of one JSON array; made in one task, so for small results (JSON lines are the form for large ones)."""
-    rows = df.select(F.monotonically_increasing_id().alias("i"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("v")).coalesce(1)
-    return rows.agg(F.concat(F.lit("[\n  "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x.v), ",\n  "), F.lit("\n]")).alias("value"))
+    """Lines of a JSON array a part; a part is streamed and never held."""
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    return _framed(rows, ["["], ",", ["]"])
 
 
 def write(df: DataFrame, path: str, format: str, mode: str = "errorifexists", single: bool = False, **options) -> None:
@@ -43,9 +58,9 @@ def write(df: DataFrame, path: str, format: str, mode: str = "errorifexists", si
     elif format == "jsonl":
         _one(df, single).write.mode(mode).options(ignoreNullFields="false", **options).json(path)
     elif format == "json":
-        json_array(df).write.mode(mode).text(path)
+        json_array(_one(df, single)).write.mode(mode).text(path)
     elif format == "markdown":
-        _one(markdown_lines(df), True).write.mode(mode).text(path)
+        markdown_lines(_one(df, single)).write.mode(mode).text(path)
     elif format == "parquet":
         _one(df, single).write.mode(mode).options(**options).parquet(path)
     elif format in ("excel", "arrow"):
@@ -58,7 +73,3 @@ def write(df: DataFrame, path: str, format: str, mode: str = "errorifexists", si
 def info(df: DataFrame) -> DataFrame:
     """One row for a sidecar: row_count and fields."""
     return df.agg(F.count("*").alias("row_count")).withColumn("fields", F.array(*map(F.lit, df.columns)))
-
-
-def concatenated(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)

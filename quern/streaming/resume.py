@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..errors import ParameterError
+
 
 def lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """Lines (value) of text files as they appear."""
@@ -34,6 +36,41 @@ def once(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, ch
     return query
 
 
+def start(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, log=None, task_id: str | None = None) -> StreamingQuery:
+    """As once(), but goes on until it is stopped; with a task log, it stops itself after the batch in which its task is paused or cancelled."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number:010d}")
+        if log is not None:
+            log.update(task_id, progress=float(number + 1))
+
+    query = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).start()
+    if log is not None:
+        log.update(task_id, status="running")
+    return query
+
+
+def paused(query: StreamingQuery, log, task_id: str, status: str = "paused") -> bool:
+    """Stop a query after its current batch and note it; its checkpoint is where it goes on. False if its task is in no state to be paused."""
+    if not log.change(task_id, {"paused": "pause", "cancelled": "cancel"}[status]):
+        return False
+    query.stop()
+    return True
+
+
+def resumed(log, task_id: str, overrides: dict | None = None, as_new: bool = False) -> tuple[str, dict]:
+    """The task that goes on, and its parameters with the overrides: the paused task itself, or a new one that has its checkpoint and names it."""
+    task = log.get(task_id)
+    params = task["params"] | (overrides or {})
+    if as_new:
+        new = log.add(task["task_type"], task["task_subtype"], params | {"resumed_from": task_id})
+        return new, log.get(new)["params"]
+    if not log.change(task_id, "resume"):
+        raise ParameterError(f"task {task_id} is {task['status']}")
+    log.update(task_id, params=params)
+    return task_id, params
+
+
 def result(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 

@@ -125,7 +125,12 @@ def retained(tasks: DataFrame, now, days: int, keep_failed: bool = True) -> Data
     return tasks.where(~(old & (F.col("status") != "failed")) if keep_failed else ~old)
 
 
+def log_stats(files: DataFrame) -> DataFrame:
+    """One row over a listing (path, size) of log files: files, total_size."""
+    return files.where(F.lower("path").endswith(".log")).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"))
+
+
 def search_logs(lines: DataFrame, keyword: str, date: str | None = None, limit: int = 100) -> DataFrame:
-    """Log lines (value) that hold a keyword in any case and, if given, a date."""
+    """Log lines (value) that hold a keyword in any case and, if given, a date; the first in order of the lines themselves, which start with their time."""
     found = lines.where(F.contains(F.lower("value"), F.lit(keyword.lower())))
-    return (found if date is None else found.where(F.contains("value", F.lit(date)))).limit(limit)
+    return (found if date is None else found.where(F.contains("value", F.lit(date)))).orderBy("value").limit(limit)

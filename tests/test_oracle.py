@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quern.queries import QUERIES, SQL
+from quern.more_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -80,9 +80,9 @@ def test_excel_and_arrow(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
-    write(df, f"{tmp_path}/j", "json")
+    write(df, f"{tmp_path}/j", "json", single=True)
     assert json.loads(next((tmp_path / "j").glob("part*")).read_text()) == [{"i": 1, "s": "a"}, {"i": 2, "s": None}]
-    write(df, f"{tmp_path}/m", "markdown")
+    write(df, f"{tmp_path}/m", "markdown", single=True)
     assert next((tmp_path / "m").glob("part*")).read_text() == "| i | s |\n| --- | --- |\n| 1 | a |\n| 2 |  |\n"
     write(df, f"{tmp_path}/l", "jsonl", single=True)
     assert '{"i":2,"s":null}' in next((tmp_path / "l").glob("part*")).read_text()
@@ -117,7 +117,7 @@ def test_catalog(spark, tmp_path):
     at = catalog.backup([str(tmp_path / "raw" / "a.jsonl")], str(tmp_path / "backups"), "one")
     assert catalog.backups(spark, str(tmp_path / "backups")).first().files == 1
     assert catalog.restore(str(at), str(tmp_path / "back"))[0].read_text() == "{}\n"
-    put(at / "a.jsonl", "changed")
+    put(at / "files" / "a.jsonl", "changed")
     with pytest.raises(SourceError):
         catalog.restore(str(at))
     import hashlib
