@@ -52,6 +52,39 @@ def test_all_pairs_of_the_similarity(spark, monkeypatch, sample):
     assert got == dict(enumerate(want))
 
 
+def test_a_group_of_near_copies_makes_no_square_of_pairs(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(150)]
+
+    def copy(changes):
+        w = list(base)
+        for i in rnd.sample(range(5, 145, 5), changes):
+            w[i] = f"x{rnd.randrange(10**6)}"
+        return " ".join(w)
+
+    texts = [copy(4) for _ in range(300)] + [copy(1) for _ in range(60)] + [copy(3) for _ in range(40)]
+    rnd.shuffle(texts)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    want, _ = groups(sets)
+    pairs, compared = [], near_text.compared
+    monkeypatch.setattr(near_text, "compared", lambda found, *more: pairs.append(found.count()) or compared(found, *more))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_text.classes(df).collect()}
+    assert got == dict(enumerate(want))
+    assert sum(pairs) < 10 * len(texts)
+
+
+def test_outlines_bound_the_difference():
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    for size in (0, 1, 30, 700):
+        a = rnd.integers(0, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate([a[size // 3 :], rnd.integers(0, 1 << 63, size // 4, dtype=np.uint64)])
+        bits = int(np.bitwise_count((near_text.outline(a) ^ near_text.outline(b)).view(np.uint64)).sum())
+        assert bits <= size // 3 + size // 4 and (bits - size // 3 - size // 4) % 2 == 0
+
+
 def test_stage_removes_near_copies(spark):
     import corpus_pipeline as c
 
